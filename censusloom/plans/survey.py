@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, fields
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,31 @@ from censusloom.sources.contracts import require_columns, require_domain, requir
 from censusloom.sources.files import write_table
 
 
+RESULT_TABLES = (
+    "raw_dataset_overview",
+    "raw_column_profile",
+    "raw_salary_summary",
+    "data_quality",
+    "cleaned_salary_data",
+    "cleaned_descriptive_statistics",
+    "cleaned_column_profile",
+    "numeric_correlation_top",
+    "numeric_correlation_matrix",
+    "categorical_salary_summary",
+    "ordinal_income_spearman",
+    "ordinal_income_trends",
+    "categorical_income_associations",
+    "employment_income_effects",
+    "remote_salary_test",
+    "salary_histogram",
+    "salary_density",
+    "log_salary_density",
+    "experience_line",
+    "experience_sample",
+    "headline_facts",
+)
+
+
 def allowed_labels() -> dict[str, list[str]]:
     """Labels every scored question may hold, declined answers included."""
     likert = {name: list(schema.LIKERT_SCORES) for name in schema.KNOWLEDGE}
@@ -91,102 +116,163 @@ def correlation_matrix(cleaned: DataFrame) -> DataFrame:
     return associations.pearson_matrix(masked, schema.MATRIX_COLUMNS, schema.MATRIX_LABELS)
 
 
-@dataclass(frozen=True)
-class SurveyTables:
-    """All result tables of the analysis; every one is a lazy DataFrame."""
-
-    raw_dataset_overview: DataFrame
-    raw_column_profile: DataFrame
-    raw_salary_summary: DataFrame
-    data_quality: DataFrame
-    cleaned_salary_data: DataFrame
-    cleaned_descriptive_statistics: DataFrame
-    cleaned_column_profile: DataFrame
-    numeric_correlation_top: DataFrame
-    numeric_correlation_matrix: DataFrame
-    categorical_salary_summary: DataFrame
-    ordinal_income_spearman: DataFrame
-    ordinal_income_trends: DataFrame
-    categorical_income_associations: DataFrame
-    employment_income_effects: DataFrame
-    remote_salary_test: DataFrame
-    salary_histogram: DataFrame
-    salary_density: DataFrame
-    log_salary_density: DataFrame
-    experience_line: DataFrame
-    experience_sample: DataFrame
-    headline_facts: DataFrame
-
-    def write(self, folder: str, kind: str = "csv") -> None:
-        """Write every table below ``folder``."""
-        for entry in fields(self):
-            write_table(getattr(self, entry.name), f"{folder.rstrip('/')}/{entry.name}", kind=kind)
-
-
-def analyze(
-    raw: DataFrame, derived: DataFrame, min_group_size: int = 20, rows_per_bucket: int = ROWS_PER_BUCKET
-) -> SurveyTables:
-    """All descriptive and inferential tables.
-
-    ``derived`` feeds every table; persist it before the call (and a model run).
+class SurveyAnalysis:
+    """All descriptive and inferential tables of the survey, each built when asked for.
+
+    ``derived`` feeds every table; persist it before writing many of them.
     """
-    table, quality = clean(raw, derived, rows_per_bucket)
-    target, logged = schema.TARGET, schema.LOG_TARGET
-    described = [*schema.NUMERIC_CANDIDATES, *schema.ORDINAL_SCORES, target, logged]
-    description = profiling.describe_columns(table, described, rows_per_bucket=rows_per_bucket)
-    pearson = associations.pearson_with_target(table, schema.NUMERIC_CANDIDATES, logged, top_n=3)
-    distribution = distributions.category_distribution(
-        table, schema.CATEGORY_FEATURES, target, min_group_size, rows_per_bucket
-    )
-    ordinal = {
-        f"{name}_order": (label, dict(enumerate(levels)))
-        for name, (label, levels, _) in schema.ORDINAL_QUESTIONS.items()
-    }
-    spearman = associations.spearman_with_target(
-        table, {column: label for column, (label, _) in ordinal.items()}, logged, rows_per_bucket
-    )
-    nominal = associations.nominal_associations(
-        table, schema.NOMINAL_FEATURES, logged, min_group_size, rows_per_bucket
-    )
-    effects = associations.multiselect_tests(
-        table, schema.EMPLOYMENT, target, logged, min_group_size, rows_per_bucket
-    )
-    welch = associations.welch_test(table, schema.REMOTE_COLUMN, schema.REMOTE, schema.IN_PERSON, logged)
-    experience = table.select(schema.KEY, "YearsCodePro_num", target).dropna()
-    headlines = facts.fact_table(
-        [
-            *facts.cleaning_facts(quality),
-            *facts.level_facts(description, target),
-            *facts.association_facts(pearson, spearman, nominal, effects),
-            *facts.category_facts(distribution, schema.TOP_CATEGORY_FEATURES),
-            facts.group_ratio_fact(welch),
-        ]
-    )
-    return SurveyTables(
-        raw_dataset_overview=profiling.dataset_overview(raw, [schema.KEY], target),
-        raw_column_profile=profiling.column_profile(raw),
-        raw_salary_summary=profiling.target_summary(raw, target, rows_per_bucket=rows_per_bucket),
-        data_quality=quality,
-        cleaned_salary_data=table.select(*schema.CLEANED_COLUMNS),
-        cleaned_descriptive_statistics=description,
-        cleaned_column_profile=profiling.column_profile(table, [*described, *schema.CATEGORY_FEATURES]),
-        numeric_correlation_top=pearson,
-        numeric_correlation_matrix=correlation_matrix(table),
-        categorical_salary_summary=distribution,
-        ordinal_income_spearman=spearman,
-        ordinal_income_trends=distributions.ordinal_trend(
-            table, ordinal, target, min_group_size, rows_per_bucket
-        ),
-        categorical_income_associations=nominal,
-        employment_income_effects=effects,
-        remote_salary_test=welch,
-        salary_histogram=charts.histogram(table, [target, logged]),
-        salary_density=charts.density_curve(table, target),
-        log_salary_density=charts.density_curve(table, logged),
-        experience_line=charts.regression_line(experience, "YearsCodePro_num", target),
-        experience_sample=charts.fixed_sample(experience, schema.KEY),
-        headline_facts=headlines,
-    )
+
+    def __init__(
+        self,
+        raw: DataFrame,
+        derived: DataFrame,
+        min_group_size: int = 20,
+        rows_per_bucket: int = ROWS_PER_BUCKET,
+    ):
+        self.raw = raw
+        self.min_group_size = min_group_size
+        self.rows_per_bucket = rows_per_bucket
+        self.table, self.data_quality = clean(raw, derived, rows_per_bucket)
+
+    @cached_property
+    def raw_dataset_overview(self) -> DataFrame:
+        return profiling.dataset_overview(self.raw, [schema.KEY], schema.TARGET)
+
+    @cached_property
+    def raw_column_profile(self) -> DataFrame:
+        return profiling.column_profile(self.raw)
+
+    @cached_property
+    def raw_salary_summary(self) -> DataFrame:
+        return profiling.target_summary(self.raw, schema.TARGET, rows_per_bucket=self.rows_per_bucket)
+
+    @cached_property
+    def cleaned_salary_data(self) -> DataFrame:
+        return self.table.select(*schema.CLEANED_COLUMNS)
+
+    @cached_property
+    def cleaned_descriptive_statistics(self) -> DataFrame:
+        return profiling.describe_columns(
+            self.table, schema.DESCRIBED_COLUMNS, rows_per_bucket=self.rows_per_bucket
+        )
+
+    @cached_property
+    def cleaned_column_profile(self) -> DataFrame:
+        columns = [*schema.DESCRIBED_COLUMNS, *schema.CATEGORY_FEATURES]
+        return profiling.column_profile(self.table, columns)
+
+    @cached_property
+    def numeric_correlation_top(self) -> DataFrame:
+        return associations.pearson_with_target(
+            self.table, schema.NUMERIC_CANDIDATES, schema.LOG_TARGET, top_n=3
+        )
+
+    @cached_property
+    def numeric_correlation_matrix(self) -> DataFrame:
+        return correlation_matrix(self.table)
+
+    @cached_property
+    def categorical_salary_summary(self) -> DataFrame:
+        return distributions.category_distribution(
+            self.table, schema.CATEGORY_FEATURES, schema.TARGET, self.min_group_size, self.rows_per_bucket
+        )
+
+    @cached_property
+    def ordinal_income_spearman(self) -> DataFrame:
+        labels = {f"{name}_order": label for name, (label, _, _) in schema.ORDINAL_QUESTIONS.items()}
+        return associations.spearman_with_target(
+            self.table, labels, schema.LOG_TARGET, self.rows_per_bucket
+        )
+
+    @cached_property
+    def ordinal_income_trends(self) -> DataFrame:
+        levels = {
+            f"{name}_order": (label, dict(enumerate(texts)))
+            for name, (label, texts, _) in schema.ORDINAL_QUESTIONS.items()
+        }
+        return distributions.ordinal_trend(
+            self.table, levels, schema.TARGET, self.min_group_size, self.rows_per_bucket
+        )
+
+    @cached_property
+    def categorical_income_associations(self) -> DataFrame:
+        return associations.nominal_associations(
+            self.table, schema.NOMINAL_FEATURES, schema.LOG_TARGET, self.min_group_size, self.rows_per_bucket
+        )
+
+    @cached_property
+    def employment_income_effects(self) -> DataFrame:
+        return associations.multiselect_tests(
+            self.table,
+            schema.EMPLOYMENT,
+            schema.TARGET,
+            schema.LOG_TARGET,
+            self.min_group_size,
+            self.rows_per_bucket,
+        )
+
+    @cached_property
+    def remote_salary_test(self) -> DataFrame:
+        return associations.welch_test(
+            self.table, schema.REMOTE_COLUMN, schema.REMOTE, schema.IN_PERSON, schema.LOG_TARGET
+        )
+
+    @cached_property
+    def salary_histogram(self) -> DataFrame:
+        return charts.histogram(self.table, [schema.TARGET, schema.LOG_TARGET])
+
+    @cached_property
+    def salary_density(self) -> DataFrame:
+        return charts.density_curve(self.table, schema.TARGET)
+
+    @cached_property
+    def log_salary_density(self) -> DataFrame:
+        return charts.density_curve(self.table, schema.LOG_TARGET)
+
+    @cached_property
+    def _experience(self) -> DataFrame:
+        return self.table.select(schema.KEY, "YearsCodePro_num", schema.TARGET).dropna()
+
+    @cached_property
+    def experience_line(self) -> DataFrame:
+        return charts.regression_line(self._experience, "YearsCodePro_num", schema.TARGET)
+
+    @cached_property
+    def experience_sample(self) -> DataFrame:
+        return charts.fixed_sample(self._experience, schema.KEY)
+
+    @cached_property
+    def level_facts(self) -> DataFrame:
+        """Rates, levels, top categories and the remote ratio."""
+        return facts.fact_table(
+            [
+                *facts.cleaning_facts(self.data_quality),
+                *facts.level_facts(self.cleaned_descriptive_statistics, schema.TARGET),
+                *facts.category_facts(self.categorical_salary_summary, schema.TOP_CATEGORY_FEATURES),
+                facts.group_ratio_fact(self.remote_salary_test),
+            ]
+        )
+
+    @cached_property
+    def strongest_facts(self) -> DataFrame:
+        """The strongest feature of every association table."""
+        return facts.fact_table(
+            facts.association_facts(
+                self.numeric_correlation_top,
+                self.ordinal_income_spearman,
+                self.categorical_income_associations,
+                self.employment_income_effects,
+            )
+        )
+
+    @cached_property
+    def headline_facts(self) -> DataFrame:
+        return self.level_facts.unionByName(self.strongest_facts)
+
+    def write(self, folder: str, kind: str = "csv", names: Sequence[str] = RESULT_TABLES) -> None:
+        """Write the named tables below ``folder``."""
+        for name in names:
+            write_table(getattr(self, name), f"{folder.rstrip('/')}/{name}", kind=kind)
 
 
 def model_spec(**changes) -> ModelSpec:

@@ -111,6 +111,7 @@ MODEL_MULTISELECT = (
     "PlatformHaveWorkedWith",
     "ProfessionalTech",
 )
+DESCRIBED_COLUMNS = (*NUMERIC_CANDIDATES, *ORDINAL_SCORES, TARGET, LOG_TARGET)
 CLEANED_COLUMNS = (
     KEY, TARGET, LOG_TARGET, *EXPERIENCE, *EXPERIENCE_DERIVED, *KNOWLEDGE, *KNOWLEDGE_SCORES,
     *ORDINAL_SCORES, "Country", "DevType", "RemoteWork", "EdLevel", "Employment", "OrgSize", "Age",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,3 +79,13 @@ def write_table(df: DataFrame, path: str, columns: Sequence[str] | None = None,
         writer.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     else:
         writer.format(kind).save(path)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path for intermediate tables in the folder all executors share.
+
+    The cluster names that folder in ``spark.checkpoint.dir``. Only where it is unset,
+    as in a local test session, a temporary folder of this machine is used.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="censusloom-")
+    return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}"
