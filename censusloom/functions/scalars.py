@@ -19,8 +19,11 @@ _NUMBER_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
 def finite(value: Column) -> Column:
-    """NaN and infinities become NULL, because one NaN would poison an aggregate."""
-    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
+    """NaN and infinities become NULL, because one NaN would poison an aggregate.
+
+    Spark orders NaN above every number, so one comparison catches all of them.
+    """
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def text_to_number(text: Column) -> Column:

@@ -153,7 +153,7 @@ def correlation_p(r: Column, rows: Column) -> Column:
     df = (rows - 2).cast("double")
     left = (1 - r) * (1 + r)
     # A perfect correlation has an infinite statistic.
-    t = F.when(left > 0, r * F.sqrt(df / left)).otherwise(F.lit(float("inf")))
+    t = F.when(left > 0, r * F.sqrt(df / left)).when(left.isNotNull(), float("inf"))
     return student_p(F.when(df > 0, t), F.when(df > 0, df))
 
 
