@@ -158,9 +158,10 @@ def spearman_with_target(
     )
     long = values.unpivot(["y"], columns, "score_column", "x").dropna()
     layouts = fit_layouts(long, ["x", "y"], rows_per_bucket)
-    ranked = long.groupBy("score_column", "x", "y").agg(F.count(F.lit(1)).alias("_pairs"))
+    pairs = long.groupBy("score_column", "x", "y").agg(F.count(F.lit(1)).alias("_pairs"))
+    ranked = pairs
     for side in ("x", "y"):
-        ranked = ranked_rows(ranked, ["score_column"], side, "_pairs", layouts[side], f"_{side}")
+        ranked = ranked_rows(ranked, ["score_column"], side, "_pairs", layouts[side], f"_{side}", pairs)
     middle = (F.col("_rows_y") + 1) / 2.0
     dx, dy, weight = F.col("avg_rank_x") - middle, F.col("avg_rank_y") - middle, F.col("_pairs")
     rho = F.try_divide(F.sum(weight * dx * dy), F.sqrt(F.sum(weight * dx * dx)) * F.sqrt(F.sum(weight * dy * dy)))

@@ -9,29 +9,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from censusloom.functions.scalars import number
-from censusloom.operators.layout import ROWS_PER_BUCKET, Layout, fit_layout, lookup_by_key
+from censusloom.operators.layout import ROWS_PER_BUCKET, Layout, fit_layout, hot_keys, lookup_by_key
 from censusloom.operators.quantiles import quantile_bounds
 from censusloom.sources.contracts import duplicate_count, missing_cells, require_population
 
 
-BROADCAST_KEYS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def first_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], broadcast_keys: int = BROADCAST_KEYS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Keep the first row of each key in the given order; a NULL key is one key.
 
     ``order`` must decide between any two rows of a key; NULLs come first. The keys
     are counted first, which shuffles keys only. Rows of keys that occur once then
-    pass through unmoved, unless more than ``broadcast_keys`` keys repeat.
+    pass through unmoved, unless the repeated keys exceed ``broadcast_bytes``.
     """
     keys = list(keys)
     repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 1)
-    found = repeated.count()
-    if found == 0:
+    width = F.lit(64)  # an entry's own overhead in a hash table
+    for name in keys:
+        width = width + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
+    size = repeated.agg(F.sum(width)).first()[0]
+    if size is None:
         return df
-    if found > broadcast_keys:
+    if size > broadcast_bytes:
         return _smallest_per_key(df, keys, order)
     known = F.broadcast(repeated.select(*[F.col(name).alias(f"_key_{name}") for name in keys]))
     same = reduce(
@@ -63,7 +66,8 @@ def rows_of_large_groups(
     sizes = sizes.where(F.col("_group_rows") >= min_rows)
     rows = known.count()
     layout = Layout(rows, () if rows <= rows_per_bucket else (0.0,))
-    return lookup_by_key(known, sizes, [group], F.col("_group_rows"), layout).select(*df.columns)
+    hot = hot_keys(sizes, [group], F.col("_group_rows"), layout)
+    return lookup_by_key(known, sizes, [group], hot).select(*df.columns)
 
 
 def valid_target(df: DataFrame, target: str) -> DataFrame:

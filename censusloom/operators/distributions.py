@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from censusloom.errors import check
 from censusloom.functions.scalars import score_label
 from censusloom.functions.tokens import options, tokens
-from censusloom.operators.layout import ROWS_PER_BUCKET, fit_layout, lookup_by_key
+from censusloom.operators.layout import ROWS_PER_BUCKET, fit_layout, hot_keys, lookup_by_key
 from censusloom.operators.quantiles import grouped_quantiles
 from censusloom.operators.ranks import running_counts
 from censusloom.sources.contracts import require_population
@@ -149,10 +149,9 @@ def multiselect_effects(
     own = running_counts(own, ["option"], value, layout).withColumnsRenamed(
         {"_count": "_own", "_start": "_own_start", "_rows": "_own_rows"}
     )
-    everyone = running_counts(
-        source.groupBy(value).agg(F.count(F.lit(1)).alias("_count")), [], value, layout
-    ).drop("_rows")
-    both = lookup_by_key(own, everyone, [value], F.col("_count"), layout)
+    counts = source.groupBy(value).agg(F.count(F.lit(1)).alias("_count"))
+    everyone = running_counts(counts, [], value, layout).drop("_rows")
+    both = lookup_by_key(own, everyone, [value], hot_keys(counts, [value], F.col("_count"), layout))
 
     selected, unselected = F.col("_own_rows"), F.lit(rows) - F.col("_own_rows")
     below = F.col("_start") - F.col("_own_start")  # rows without the option below the value

@@ -91,27 +91,33 @@ def fit_layout(df: DataFrame, value: str, rows_per_bucket: int = ROWS_PER_BUCKET
     return fit_layouts(df, [value], rows_per_bucket)[value]
 
 
-def lookup_by_key(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    rows: Column,
-    layout: Layout,
-    heavy_limit: int = 1_000,
-) -> DataFrame:
-    """Inner-join ``facts`` to ``lookup`` although some keys may be hot in ``facts``.
-
-    ``lookup`` has one row per key, and ``rows`` is the key's share of the
-    ``layout.rows`` rows. At most ``heavy_limit`` keys can hold more than
-    1 / ``heavy_limit`` of them; those few are broadcast, and all other keys are light
-    enough to be shuffled.
+HOT_KEY_LIMIT = 1_000
+
+
+def hot_keys(
+    counts: DataFrame, on: Sequence[str], rows: Column, layout: Layout, limit: int = HOT_KEY_LIMIT
+) -> list[tuple]:
+    """Keys holding more than 1 / ``limit`` of the layout's rows: at most ``limit`` of them.
+
+    ``counts`` has one row per key with its number of ``rows``. Up to the size one task
+    may order there is nothing to split, and nothing is counted.
     """
-    on = list(on)
     if layout.single:
+        return []
+    found = counts.where(rows > F.lit(layout.rows // limit)).select(*on)
+    return [tuple(row) for row in found.collect()]
+
+
+def lookup_by_key(facts: DataFrame, lookup: DataFrame, on: Sequence[str], hot: list[tuple]) -> DataFrame:
+    """Inner-join ``facts`` to ``lookup`` (one row per key) with the ``hot`` keys split off.
+
+    The lookup rows of the hot keys are broadcast, so their facts stay where they are;
+    all other keys are light enough to be shuffled.
+    """
+    on = list(on)
+    if not hot:
         return facts.join(lookup, on)
-    is_heavy = rows > F.lit(layout.rows // heavy_limit)
-    heavy = F.broadcast(lookup.where(is_heavy))
-    joined_heavy = facts.join(heavy, on)
-    light_facts = facts.join(F.broadcast(lookup.where(is_heavy).select(*on)), on, "left_anti")
-    joined_light = light_facts.join(lookup.where(~is_heavy), on)
-    return joined_heavy.unionByName(joined_light)
+    keys = F.broadcast(facts.sparkSession.createDataFrame(hot, facts.select(*on).schema))
+    heavy = facts.join(F.broadcast(lookup.join(keys, on, "left_semi")), on)
+    light = facts.join(keys, on, "left_anti").join(lookup, on)
+    return heavy.unionByName(light)

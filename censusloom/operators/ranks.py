@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from censusloom.errors import check
-from censusloom.operators.layout import ROWS_PER_BUCKET, Layout, fit_layouts, lookup_by_key
+from censusloom.operators.layout import ROWS_PER_BUCKET, Layout, fit_layouts, hot_keys, lookup_by_key
 from censusloom.operators.quantiles import bucket_spans
 
 _BEFORE = Window.unboundedPreceding
@@ -56,12 +56,14 @@ def ranked_rows(
     weight: str,
     layout: Layout,
     suffix: str = "",
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add the average rank of ``value`` within its group to rows counted by ``weight``.
 
     Unlike in :func:`average_ranks`, a value may be on many rows here. Adds
     ``avg_rank``, ``_ties`` (rows with the value) and ``_rows`` (rows of the group),
-    each followed by ``suffix``.
+    each followed by ``suffix``. ``source`` may give the same counted rows by a
+    shorter plan, to take the ranks from.
     """
     keys = list(keys)
     names = {"avg_rank": f"avg_rank{suffix}", "_count": f"_ties{suffix}", "_rows": f"_rows{suffix}"}
@@ -74,9 +76,10 @@ def ranked_rows(
             .withColumn(names["avg_rank"], up_to - (F.col(names["_count"]) - 1) / 2.0)
             .withColumn(names["_rows"], F.sum(weight).over(group))
         )
-    distinct = counted.groupBy(*keys, value).agg(F.sum(weight).alias("_count"))
+    distinct = (source or counted).groupBy(*keys, value).agg(F.sum(weight).alias("_count"))
+    hot = hot_keys(distinct, [*keys, value], F.col("_count"), layout)
     ranks = average_ranks(distinct, keys, value, layout).withColumnsRenamed(names)
-    return lookup_by_key(counted, ranks, [*keys, value], F.col(names["_count"]), layout)
+    return lookup_by_key(counted, ranks, [*keys, value], hot)
 
 
 def with_group_rows(
@@ -87,7 +90,7 @@ def with_group_rows(
         rows = F.sum(weight).over(Window.partitionBy(*keys))
         return counted.withColumn(name, rows).where(F.col(name) >= minimum)
     sizes = counted.groupBy(*keys).agg(F.sum(weight).alias(name)).where(F.col(name) >= minimum)
-    return lookup_by_key(counted, sizes, keys, F.col(name), layout)
+    return lookup_by_key(counted, sizes, keys, hot_keys(sizes, keys, F.col(name), layout))
 
 
 def row_positions(
@@ -153,7 +156,7 @@ def hash_positions(
         window = Window.partitionBy(*groups).orderBy(order, key)
         return df.withColumn(position, F.row_number().over(window).cast("long"))
     digits = 1
-    while 16**digits < rows / rows_per_bucket and digits < 4:
+    while 16**digits < rows / rows_per_bucket and digits < 5:
         digits += 1
     tagged = df.withColumn("_bucket", F.substring(order, 1, digits)).withColumn("_whole", F.lit(0))
     keys = ["_whole", *groups]

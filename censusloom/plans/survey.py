@@ -246,9 +246,9 @@ class SurveyAnalysis:
         """Rates, levels, top categories and the remote ratio."""
         return facts.fact_table(
             [
-                *facts.cleaning_facts(self.data_quality),
-                *facts.level_facts(self.cleaned_descriptive_statistics, schema.TARGET),
-                *facts.category_facts(self.categorical_salary_summary, schema.TOP_CATEGORY_FEATURES),
+                facts.cleaning_facts(self.data_quality),
+                facts.level_facts(self.cleaned_descriptive_statistics, schema.TARGET),
+                facts.category_facts(self.categorical_salary_summary, schema.TOP_CATEGORY_FEATURES),
                 facts.group_ratio_fact(self.remote_salary_test),
             ]
         )
@@ -256,13 +256,14 @@ class SurveyAnalysis:
     @cached_property
     def strongest_facts(self) -> DataFrame:
         """The strongest feature of every association table."""
+        strongest = facts.strongest_fact
         return facts.fact_table(
-            facts.association_facts(
-                self.numeric_correlation_top,
-                self.ordinal_income_spearman,
-                self.categorical_income_associations,
-                self.employment_income_effects,
-            )
+            [
+                strongest(self.numeric_correlation_top, "strongest_numeric", "feature", "pearson_r"),
+                strongest(self.ordinal_income_spearman, "strongest_ordinal", "feature", "spearman_rho"),
+                strongest(self.categorical_income_associations, "strongest_nominal", "feature", "eta_squared"),
+                strongest(self.employment_income_effects, "strongest_option", "option", "point_biserial_r"),
+            ]
         )
 
     @cached_property

@@ -51,10 +51,9 @@ def require_domain(df: DataFrame, allowed: Mapping[str, Sequence[str]]) -> None:
 
 
 def _null_cells(df: DataFrame):
-    cells = F.lit(0)
-    for name in df.columns:
-        cells = cells + F.col(f"`{name}`").isNull().cast("int")
-    return F.coalesce(F.sum(cells), F.lit(0))
+    names = ["`" + name.replace("`", "``") + "`" for name in df.columns]
+    cells = " + ".join(f"CAST({name} IS NULL AS INT)" for name in names) or "0"
+    return F.expr(f"coalesce(sum({cells}), 0)")
 
 
 def missing_cells(df: DataFrame) -> DataFrame:

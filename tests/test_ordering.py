@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from censusloom.errors import SurveyError
-from censusloom.operators.layout import Layout, fit_layout, lookup_by_key
+from censusloom.operators.layout import Layout, fit_layout, hot_keys, lookup_by_key
 from censusloom.operators.quantiles import grouped_quantiles, quantile_bounds
 from censusloom.operators.ranks import (
     average_ranks, hash_positions, quantile_bin, ranked_rows, row_positions, stratified_folds, target_bins,
@@ -147,9 +147,11 @@ def test_folds_do_not_depend_on_partitioning_or_buckets(table):
     assert first == key(stratified_folds(table, "x", "id", rows_per_bucket=50))
 
 
-def test_lookup_by_key_splits_hot_keys(spark, table, skewed):
+def test_lookup_by_key_splits_hot_keys(table, skewed):
     sizes = table.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    cut = Layout(len(skewed), (1.0,))
-    joined = lookup_by_key(table, sizes, ["g"], F.col("n"), cut, heavy_limit=5)
+    hot = hot_keys(sizes, ["g"], F.col("n"), Layout(len(skewed), (1.0,)), limit=5)
+    assert hot == [("hot",)]
+    assert hot_keys(sizes, ["g"], F.col("n"), Layout(len(skewed)), limit=5) == []
+    joined = lookup_by_key(table, sizes, ["g"], hot)
     assert joined.count() == len(skewed)
     assert joined.where("g = 'hot'").first()["n"] == (skewed.g == "hot").sum()

@@ -67,11 +67,11 @@ def test_reconcile_finds_a_difference(spark):
         contracts.require_match(contracts.reconcile(left, left.select("x", "k"), ["k"], "x"))
 
 
-@pytest.mark.parametrize("broadcast_keys", [1_000, 0])
-def test_first_per_key_keeps_the_first_row(spark, broadcast_keys):
+@pytest.mark.parametrize("broadcast_bytes", [1_000, 0])
+def test_first_per_key_keeps_the_first_row(spark, broadcast_bytes):
     rows = [(1, 3, "c"), (1, 1, "a"), (2, 9, "z"), (None, 2, "n"), (None, 1, "m")] + [(7, i, "hot") for i in range(50)]
     df = spark.createDataFrame(rows, "k int, o int, t string").repartition(4)
-    got = cleaning.first_per_key(df, ["k"], ["o"], broadcast_keys)
+    got = cleaning.first_per_key(df, ["k"], ["o"], broadcast_bytes)
     assert got.columns == ["k", "o", "t"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(
         [(1, 1, "a"), (2, 9, "z"), (None, 1, "m"), (7, 0, "hot")], key=str

@@ -12,6 +12,7 @@ from censusloom.modeling.evaluation import (
 from censusloom.modeling.importance import permutation_importance
 from censusloom.modeling.selection import cross_validate, fit_final, with_folds
 from censusloom.modeling.training import split
+from censusloom.plans.facts import model_facts
 from workloads.registry import query
 from workloads.tables import table
 
@@ -183,3 +184,17 @@ def importance(spark, sf_dir):
     train, test = split(orders_to_model(spark, sf_dir), spec)
     model = fit_final(train, spec, "Ridge", spec.ridge)
     return permutation_importance(model, test, spec)
+
+
+@query(
+    "model_facts",
+    f"""{_FOLD_SCORES}, s AS (SELECT model, avg(mae) AS mae, avg(log_rmse) AS lr FROM f GROUP BY model),
+    b AS (SELECT arg_min(model, mae) AS model, min(mae) AS mae, arg_min(lr, mae) AS lr FROM s),
+    r AS (SELECT mae, lr FROM s WHERE model = 'model 3')
+    SELECT 'selected_model_mae' AS fact, b.model AS label, round(b.mae, 5) AS value FROM b
+    UNION ALL SELECT 'log_rmse_gap', NULL, round(abs(b.lr - r.lr), 5) FROM b, r
+    UNION ALL SELECT 'mae_gain', NULL, round(r.mae - b.mae, 5) FROM b, r""",
+)
+def model_facts_query(spark, sf_dir):
+    """The best model against a baseline, read off the comparison table."""
+    return rounded(model_facts(cv_summary(_fold_scores(spark, sf_dir)), "model 3"), 5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from censusloom.sources.contracts import domain_violations, missing_cells, reconcile
+from censusloom.sources.contracts import domain_violations, fingerprint, missing_cells, reconcile
 from censusloom.sources.files import (
     STRICT_NULL_TEXTS, apply_types, first_rows, scan_csv, scratch_folder, write_table,
 )
@@ -108,3 +108,37 @@ def missing_cells_query(spark, sf_dir):
 def domain_violations_query(spark, sf_dir):
     allowed = {"o_orderpriority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"], "o_orderstatus": ["O", "F"]}
     return domain_violations(table(spark, sf_dir, "orders"), allowed)
+
+
+def item(name: str):
+    return F.max(F.when(F.col("metric") == name, F.col("value"))).alias(name)
+
+
+# The width of the survey file: 114 columns.
+WIDE_COLUMNS = 114
+
+
+def wide_lines(spark, sf_dir):
+    """Line items repeated sideways to 114 columns, with gaps spelled NA when written."""
+    lines = table(spark, sf_dir, "lineitem")
+    names = lines.columns
+    gap = "CASE WHEN (l_orderkey + {place}) % 3 = 0 THEN 'NA' ELSE CAST({name} AS STRING) END"
+    value = "CAST({name} AS STRING)"
+    return lines.selectExpr(
+        *[
+            (gap if place else value).format(place=place, name=names[place % len(names)]) + f" AS c{place:03d}"
+            for place in range(WIDE_COLUMNS)
+        ]
+    )
+
+
+@query(
+    "csv_wide_scan",
+    """SELECT count(*) AS rows, CAST(sum(n) AS BIGINT) AS missing_cells FROM (
+    SELECT (SELECT count(*) FROM range(1, 114) p(i) WHERE (l_orderkey + i) % 3 = 0) AS n FROM lineitem)""",
+)
+def csv_wide_scan(spark, sf_dir):
+    """A file as wide as the survey's: written, read as text, NULLs counted."""
+    read = scan_csv(spark, _as_csv(spark, wide_lines(spark, sf_dir)), multi_line=False)
+    found = fingerprint(read, ["c000"], "c001")
+    return found.agg(item("rows"), item("missing_cells"))
