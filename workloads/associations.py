@@ -21,8 +21,8 @@ def _t_tail(t: str, df: str) -> str:
     """Two-sided p-value of |t| as SQL, 1 - 2 * integral of the density from 0 to |t|."""
     x = f"(abs({t}) * i / 1000)"
     weight = "CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
-    return f"""abs(round((SELECT 1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi())
-      * abs({t}) / 3000 * sum({weight} * pow(1 + {x} * {x} / {df}, -({df} + 1) / 2.0)) FROM range(1001) s(i)), 6))"""
+    return f"""abs((SELECT 1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi())
+      * abs({t}) / 3000 * sum({weight} * pow(1 + {x} * {x} / {df}, -({df} + 1) / 2.0)) FROM range(1001) s(i)))"""
 
 
 def _round(df, places: dict[str, int]):
@@ -81,7 +81,7 @@ _SPEARMAN = f"""WITH v AS (SELECT priority_order, CAST(o_custkey % 40 AS DOUBLE)
       + (count(*) OVER (PARTITION BY score_column, y) - 1) / 2::DOUBLE AS ry FROM l),
   c AS (SELECT feature, score_column, count(*) AS valid_rows, corr(rx, ry) AS rho FROM r GROUP BY ALL),
   t AS (SELECT *, rho * sqrt((valid_rows - 2) / (1 - rho * rho)) AS t, (valid_rows - 2)::DOUBLE AS d FROM c),
-  p AS (SELECT feature, score_column, valid_rows, round(rho, 9) AS spearman_rho, {_t_tail("t", "d")} AS p_value FROM t)
+  p AS (SELECT feature, score_column, valid_rows, round(rho, 9) AS spearman_rho, round({_t_tail("t", "d")}, 6) AS p_value FROM t)
   SELECT * FROM p"""
 _TEST_COLUMNS = ["significant_at_0_05", "p_value_bonferroni", "significant_bonferroni_0_05"]
 
@@ -149,7 +149,7 @@ def nominal_associations_bucketed(spark, sf_dir):
       pow(s1 + s2, 2) / (s1 * s1 / (n1 - 1) + s2 * s2 / (n2 - 1)) AS d FROM w),
     p AS (SELECT *, {_t_tail("t", "d")} AS p_value FROM t)
     SELECT CAST(n1 AS BIGINT) AS first_n, CAST(n2 AS BIGINT) AS second_n, round(m1, 9) AS first_mean,
-      round(m2, 9) AS second_mean, round(t, 8) AS t_statistic, round(d, 5) AS degrees_of_freedom, p_value,
+      round(m2, 9) AS second_mean, round(t, 8) AS t_statistic, round(d, 5) AS degrees_of_freedom, round(p_value, 6) AS p_value,
       0.05::DOUBLE AS alpha, CASE WHEN p_value < 0.05 THEN 'means differ' ELSE 'no difference shown' END AS verdict
     FROM p""",
 )
@@ -168,7 +168,7 @@ def welch_test(spark, sf_dir):
     t AS (SELECT *, point_biserial_r * sqrt((selected_rows + unselected_rows - 2)
         / (1 - point_biserial_r * point_biserial_r)) AS t, (selected_rows + unselected_rows - 2)::DOUBLE AS d FROM e),
     p AS (SELECT option, point_biserial_r, {_t_tail("t", "d")} AS p_value FROM t)
-    SELECT option, point_biserial_r, p_value, p_value < 0.05 AS significant_at_0_05,
+    SELECT option, point_biserial_r, round(p_value, 6) AS p_value, p_value < 0.05 AS significant_at_0_05,
       round(least(p_value * count(*) OVER (), 1), 5) AS p_value_bonferroni,
       p_value * count(*) OVER () < 0.05 AS significant_bonferroni_0_05 FROM p""",
 )
