@@ -9,7 +9,7 @@ from censusloom.operators import cleaning as C
 from censusloom.sources.contracts import duplicate_count
 from workloads.registry import query
 from workloads.tables import (
-    ANSWERS, EXPERIENCE, PRIORITY_LABELS, PRIORITY_SCORES, SCORED_ORDERS, answers, experience,
+    ANSWERS, EXPERIENCE, PRIORITY_LABELS, SCORED_ORDERS, answers, experience,
     scored_orders, table,
 )
 
