@@ -155,3 +155,15 @@ def test_lookup_by_key_splits_hot_keys(table, skewed):
     joined = lookup_by_key(table, sizes, ["g"], hot)
     assert joined.count() == len(skewed)
     assert joined.where("g = 'hot'").first()["n"] == (skewed.g == "hot").sum()
+
+
+def test_cut_points_of_many_rows_come_from_a_sample(spark):
+    """More rows than are sampled for cut points; half of them share one value."""
+    rows = 2_400_000
+    value = F.when(F.col("id") < rows // 2, 0.0).otherwise(F.col("id").cast("double"))
+    df = spark.range(rows).select(value.alias("x"))
+    layout = fit_layout(df, "x")
+    assert layout.rows == rows and len(layout.cuts) >= 2
+    got = quantile_bounds(df, "x", [0.25, 0.5, 0.75, 1.0], layout)
+    expected = np.quantile(np.where(np.arange(rows) < rows // 2, 0, np.arange(rows)), [0.25, 0.5, 0.75, 1.0])
+    assert got == pytest.approx(list(expected), rel=1e-12)
