@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from censusloom.llm import bpe
+from censusloom.llm import bpe, line_rules, packing
 from censusloom.llm.common import table
 from censusloom.llm.registry import QUERIES, SQL, query
 
@@ -14,3 +15,16 @@ __all__ = ["QUERIES", "SQL"]
 @query("op3_byte_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op4_line_rules", line_rules.oracle_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.clean_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
