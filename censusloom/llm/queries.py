@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from censusloom.llm import bpe, line_rules, packing
+from censusloom.llm import bpe, bradley_terry, hilbert, kneser_ney, line_rules, packing, topk
 from censusloom.llm.common import table
 from censusloom.llm.registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
 
 
+@query("op1_bradley_terry")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bradley_terry.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op3_byte_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
@@ -28,3 +33,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op8_threshold_topk", topk.ORACLE_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, 5)
+
+
+@query("op9_hilbert_shards")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned = hilbert.shard_documents(table(spark, sf_dir, "documents"))
+    return assigned.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query("op10_kneser_ney")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.predict_languages(table(spark, sf_dir, "documents"))
