@@ -6,7 +6,10 @@ The highest order uses counts, the lower ones the number of different symbols to
 left. All probabilities are interpolated when the model is made and kept in arrays
 sorted by the 64-bit hash of their n-gram, one column per language, next to the back-off
 weights of the contexts. A text gets the language of least cross-entropy per symbol.
-Texts far above the cross-entropy of held-back training documents are rejected.
+
+For rejection every word counts in the language that suits it best, so a text that mixes
+known languages stays. Texts far above held-back training documents in this open
+cross-entropy are in no known language and rejected.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from censusloom.llm.common import map_batches, remainder, stored
 ORDER = 4
 DOCUMENTS_PER_LANGUAGE = 1_000
 CALIBRATION_SHARE = 5  # one of so many sampled documents sets the rejection limit
+DEVIATIONS = 6.0
+LEAST_SLACK = 0.5  # nats per symbol
 DISCOUNT_FLOOR = 0.1
 UNKNOWN = "und"
 _PAD, _END = "\x02", "\x03"
@@ -66,9 +71,9 @@ class Model:
     context_keys: list[np.ndarray] = field(default_factory=list)  # by length, from 0
     back_offs: list[np.ndarray] = field(default_factory=list)
     floor: np.ndarray | None = None  # log-probability of a symbol never seen
-    mean: np.ndarray | None = None  # cross-entropy of calibration documents
-    spread: np.ndarray | None = None  # its deviation for one symbol
-    limit: float = math.inf
+    mean: float = 0.0  # open cross-entropy of calibration documents
+    spread: float = 1.0  # its deviation for one symbol
+    slack: float = math.inf  # how far above both a text may be
 
     def megabytes(self) -> float:
         return sum(a.nbytes for a in (*self.keys, *self.logs, *self.context_keys, *self.back_offs)) / 1e6
@@ -190,13 +195,13 @@ class _Scorer:
     def __init__(self, model: Model, numbers: int = _MEMO_NUMBERS):
         self.model, self.limit = model, numbers // (len(model.languages) + 4)
         self.rows: dict[str, int] = {}
-        self.logs = np.zeros((0, len(model.languages)))
+        self.logs = np.zeros((0, len(model.languages) + 1))  # the last column is the best of all
 
     def __call__(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability by language and number of symbols of each text."""
+        """Log-probabilities (by language, then open) and number of symbols of each text."""
         if len(self.rows) > self.limit:
             self.rows, self.logs = {}, self.logs[:0]
-        logs = np.zeros((len(texts), len(self.model.languages)))
+        logs = np.zeros((len(texts), self.logs.shape[1]))
         symbols = np.zeros(len(texts), np.int64)
         for at, text in enumerate(texts):
             words = words_of(text)
@@ -206,7 +211,8 @@ class _Scorer:
             fresh = list({w for w in words if w not in rows})
             if fresh:
                 rows.update(zip(fresh, range(len(rows), len(rows) + len(fresh)), strict=True))
-                self._add(self.model.word_logs(fresh), len(rows) - len(fresh))
+                found = self.model.word_logs(fresh)
+                self._add(np.column_stack([found, found.max(axis=1)]), len(rows) - len(fresh))
             chosen = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
             logs[at] = self.logs[chosen].sum(axis=0)
             symbols[at] = sum(map(len, words)) + len(words)
@@ -235,8 +241,8 @@ def _scorer(model: Broadcast) -> _Scorer:
 def identify(docs: DataFrame, model: Broadcast, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, lang_pred, score, entropy, symbols, rejected) for every row of ``docs``.
 
-    ``entropy`` is the least cross-entropy in nats per symbol; ``score`` the posterior of
-    that language, from at most ``_SURE_SYMBOLS`` symbols' worth of evidence. Null texts
+    ``entropy`` is the least cross-entropy in nats per symbol, ``open_entropy`` that with
+    each word in its best language; ``score`` is the posterior of the language predicted, from at most ``_SURE_SYMBOLS`` symbols' worth of evidence. Null texts
     and texts without a letter are ``und`` with score 0, null entropy, and rejected. Ties
     go to the first language by name. Repeated and null ids are rows of their own.
     """
@@ -247,26 +253,28 @@ def identify(docs: DataFrame, model: Broadcast, ident: str = "doc_id", text: str
         names = np.array(fitted.languages, object)
         for batch in batches:
             logs, symbols = scorer(batch["text"].to_pylist())
-            some = symbols > 0
-            entropy = -logs / np.maximum(symbols, 1)[:, None]
+            some, least_one = symbols > 0, np.maximum(symbols, 1)
+            entropy = -logs / least_one[:, None]
+            entropy, open_entropy = entropy[:, :-1], entropy[:, -1]
             best = entropy.argmin(axis=1)
             least = entropy[np.arange(len(best)), best]
             gap = (entropy - least[:, None]) * np.minimum(symbols, _SURE_SYMBOLS)[:, None]
             score = np.where(some, 1 / np.exp(-gap).sum(axis=1), 0.0)
-            excess = (least - fitted.mean[best]) * np.sqrt(np.maximum(symbols, 1)) / fitted.spread[best]
+            excess = open_entropy - fitted.mean - DEVIATIONS * fitted.spread / np.sqrt(least_one)
             yield {
                 "ident": batch["ident"],
                 "lang_pred": np.where(some, names[best], UNKNOWN).tolist(),
                 "score": score.tolist(),
                 "entropy": [x if s else None for x, s in zip(least.tolist(), some.tolist(), strict=True)],
+                "open_entropy": [x if s else None for x, s in zip(open_entropy.tolist(), some.tolist(), strict=True)],
                 "symbols": symbols.tolist(),
-                "excess": excess.tolist(),
-                "rejected": (~some | (excess > fitted.limit)).tolist(),
+                "rejected": (~some | (excess > fitted.slack)).tolist(),
             }
 
     slim = docs.selectExpr(f"`{ident}` AS ident", f"`{text}` AS text")
     schema = (
-        "ident bigint, lang_pred string, score double, entropy double, symbols bigint, excess double, rejected boolean"
+        "ident bigint, lang_pred string, score double, entropy double, open_entropy double, symbols bigint, "
+        "rejected boolean"
     )
     return map_batches(slim, run, schema).withColumnRenamed("ident", ident)
 
@@ -292,6 +300,19 @@ def _gram_counts(sample: DataFrame) -> DataFrame:
     return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _calibrate(model: Model, held_back: DataFrame) -> None:
+    """Set mean, spread and slack from documents that the models have not seen."""
+    raw = held_back.sparkSession.sparkContext.broadcast(model)
+    found = stored(identify(held_back, raw, "ident").where("symbols > 0"), "calibration")
+    mean = found.agg(F.avg("open_entropy")).first()[0]
+    if mean is None:
+        return
+    deviation = F.col("open_entropy") - F.lit(mean)
+    spread = math.sqrt(found.agg(F.avg(deviation * deviation * F.col("symbols"))).first()[0])
+    most = found.agg(F.max(deviation - F.lit(DEVIATIONS * spread) / F.sqrt("symbols"))).first()[0]
+    model.mean, model.spread, model.slack = mean, spread, max(LEAST_SLACK, 2 * most)
+
+
 def train(
     labelled: DataFrame,
     ident: str = "doc_id",
@@ -302,9 +323,9 @@ def train(
     """Fit and calibrate on at most ``documents_per_language`` documents of each language.
 
     The sample takes the documents with the smallest md5 of their id. One in
-    ``CALIBRATION_SHARE`` of them is held back; the rejection limit is twice the largest
-    excess seen there (at least 10 deviations), so clean documents stay. The model grows with
-    the sample, not with the corpus, and is broadcast. Rows without text, letters or
+    ``CALIBRATION_SHARE`` of them is held back; a text is rejected beyond twice the largest
+    excess seen there (at least ``LEAST_SLACK``), so clean documents stay. The model grows
+    with the sample, not with the corpus, and is broadcast. Rows without text, letters or
     language teach nothing; without any usable row every text is ``und``.
     """
     spark = labelled.sparkSession
@@ -324,27 +345,10 @@ def train(
         counts.setdefault(row.lang, Counter())[row.gram] = row.n
     model = fit(counts, sorted(counts))
     columns = len(model.languages)
-    model.mean, model.spread = np.zeros(columns), np.ones(columns)
     if columns:
-        raw = spark.sparkContext.broadcast(model)
-        held_back = sample.where(held)
-        found = identify(held_back, raw, "ident").where("symbols > 0").groupBy("lang_pred").agg(
-            F.avg("entropy").alias("mean"), F.count("*").alias("n"),
-        )
-        means = {r.lang_pred: r["mean"] for r in found.collect()}
-        model.mean = np.array([means.get(name, math.log(30.0)) for name in model.languages])
-        centred = spark.sparkContext.broadcast(model)
-        spread = identify(held_back, centred, "ident").where("symbols > 0").groupBy("lang_pred").agg(
-            F.sqrt(F.avg(F.col("excess") * F.col("excess"))).alias("spread"), F.max("excess").alias("most")
-        ).collect()
-        model.spread = np.array(
-            [max(1e-3, next((r.spread for r in spread if r.lang_pred == name), 1.0)) for name in model.languages]
-        )
-        most = max((r.most / max(1e-3, r.spread) for r in spread), default=0.0)
-        model.limit = max(10.0, 2 * most)
+        _calibrate(model, sample.where(held))
     else:
         model.languages, model.floor = [UNKNOWN], np.zeros(1)
-        model.mean, model.spread = np.zeros(1), np.ones(1)
         model.keys, model.logs = [np.empty(0, np.uint64)] * ORDER, [np.zeros((0, 1))] * ORDER
         model.context_keys, model.back_offs = [np.empty(0, np.uint64)] * ORDER, [np.zeros((0, 1))] * ORDER
     return spark.sparkContext.broadcast(model)
