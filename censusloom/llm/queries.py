@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from censusloom.llm import bpe, bradley_terry, hilbert, kneser_ney, line_rules, packing, topk
+from censusloom.llm import bpe, bradley_terry, feistel, hilbert, kneser_ney, line_rules, packing, topk
 from censusloom.llm.common import table
 from censusloom.llm.registry import QUERIES, SQL, query
 
@@ -50,3 +50,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_kneser_ney")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.predict_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op2_feistel_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel.pseudonymise_documents(table(spark, sf_dir, "documents"))
