@@ -65,8 +65,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_key(docs: DataFrame, ident: str, text: str, key: str = "_key") -> DataFrame:
-    """``ident``, ``text`` and a unique long ``key`` in the order of the ids.
+def with_key(docs: DataFrame, ident: str, text: str, key: str = "_key") -> tuple[DataFrame, bool]:
+    """``ident``, ``text`` and a unique long ``key`` in the order of the ids; whether keys differ from ids.
 
     The key is the id itself unless ids repeat or are null. Then the rows are sorted by
     (id, text), nulls first, and numbered, so repeated rows stay separate rows.
@@ -75,9 +75,8 @@ def with_key(docs: DataFrame, ident: str, text: str, key: str = "_key") -> DataF
     ids = slim.select(ident)
     odd = ids.groupBy(ident).count().where((F.col("count") > 1) | F.col(ident).isNull()).limit(1).count()
     if not odd:
-        return slim.withColumn(key, F.col(ident).cast("long"))
+        return slim.withColumn(key, F.col(ident).cast("long")), False
     # A range sort gives ordered partitions, so these numbers follow the order.
     order = [F.col(ident).asc_nulls_first(), F.col(text).asc_nulls_first()]
-    parts = max(1, slim.rdd.getNumPartitions())
-    ranged = slim.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return stored(ranged.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(ranged.withColumn(key, F.monotonically_increasing_id()), "keyed"), True
