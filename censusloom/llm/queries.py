@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from censusloom.llm import bpe, bradley_terry, feistel, hilbert, kneser_ney, line_rules, ngram_join, packing, topk
+from censusloom.llm import bpe, bradley_terry, feistel, hilbert, kneser_ney, line_rules, ngram_join, packing, run_index, topk
 from censusloom.llm.common import table
 from censusloom.llm.registry import QUERIES, SQL, query
 
@@ -60,3 +60,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ngram_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_join(table(spark, sf_dir, "documents"))
+
+
+@query("op6_run_index")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.digests(table(spark, sf_dir, "documents"))
