@@ -65,18 +65,47 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_key(docs: DataFrame, ident: str, text: str, key: str = "_key") -> tuple[DataFrame, bool]:
-    """``ident``, ``text`` and a unique long ``key`` in the order of the ids; whether keys differ from ids.
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_key(docs: DataFrame, ident: str, text: str, key: str) -> tuple[DataFrame, bool]:
+    """``docs`` with a unique long ``key`` in the order of the ids; whether keys differ from ids.
 
     The key is the id itself unless ids repeat or are null. Then the rows are sorted by
     (id, text), nulls first, and numbered, so repeated rows stay separate rows.
     """
-    slim = docs.select(F.col(ident).alias(ident), F.col(text).alias(text))
-    ids = slim.select(ident)
-    odd = ids.groupBy(ident).count().where((F.col("count") > 1) | F.col(ident).isNull()).limit(1).count()
+    ids = docs.select(F.col(ident).alias("ident"))
+    odd = ids.groupBy("ident").count().where((F.col("count") > 1) | F.col("ident").isNull()).limit(1).count()
     if not odd:
-        return slim.withColumn(key, F.col(ident).cast("long")), False
+        return docs.withColumn(key, F.col(ident).cast("long")), False
     # A range sort gives ordered partitions, so these numbers follow the order.
     order = [F.col(ident).asc_nulls_first(), F.col(text).asc_nulls_first()]
-    ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     return stored(ranged.withColumn(key, F.monotonically_increasing_id()), "keyed"), True
+
+
+def change_batches(docs: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """``docs`` with each Arrow batch changed or filtered; all columns keep their types."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(function, batches)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def replace_texts(batch: pa.RecordBatch, texts: list, changed: list[bool]) -> pa.RecordBatch:
+    """A batch of documents with new texts; ``n_chars``, if there is one, is counted anew where they changed."""
+    names = batch.schema.names
+    columns = list(batch.columns)
+    at = names.index("text")
+    columns[at] = pa.array(texts, type=columns[at].type)
+    if "n_chars" in names:
+        at = names.index("n_chars")
+        counts = [len(t) if new else n for t, new, n in zip(texts, changed, columns[at].to_pylist(), strict=True)]
+        columns[at] = pa.array(counts, type=columns[at].type)
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from censusloom.llm.common import map_batches
+from censusloom.llm.common import change_batches, map_batches, replace_texts
 
 ROUNDS = 10
 # Replace it by a secret of your own; whoever has it can undo the pseudonyms.
@@ -322,3 +322,14 @@ def pseudonymise_documents(
     slim = docs.selectExpr(f"`{ident}` AS ident", f"`{text}` AS text")
     found = map_batches(slim, run, "ident bigint, text string, n_replaced bigint")
     return found.withColumnsRenamed({"ident": ident, "text": text})
+
+
+def with_pseudonyms(docs: DataFrame, key: bytes = EXAMPLE_KEY) -> DataFrame:
+    """All rows and columns of ``docs``, with pseudonyms in ``text`` (and ``n_chars`` to match)."""
+
+    def run(batch):
+        feistel = Feistel(key)
+        done = [pseudonymise(t.as_py(), feistel) for t in batch.column("text")]
+        return replace_texts(batch, [t for t, _ in done], [bool(kinds) for _, kinds in done])
+
+    return change_batches(docs, run)

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from censusloom.llm.common import map_batches, remainder, stored
+from censusloom.llm.common import change_batches, map_batches, remainder, stored
 
 ORDER = 4
 DOCUMENTS_PER_LANGUAGE = 1_000
@@ -238,38 +238,43 @@ def _scorer(model: Broadcast) -> _Scorer:
     return _SCORERS[key]
 
 
+def _judge(scorer: _Scorer, texts: Sequence[str | None]) -> dict[str, list]:
+    """Columns of :func:`identify` for a list of texts."""
+    fitted = scorer.model
+    names = np.array(fitted.languages, object)
+    logs, symbols = scorer(texts)
+    some, least_one = symbols > 0, np.maximum(symbols, 1)
+    entropy = -logs / least_one[:, None]
+    entropy, open_entropy = entropy[:, :-1], entropy[:, -1]
+    best = entropy.argmin(axis=1)
+    least = entropy[np.arange(len(best)), best]
+    gap = (entropy - least[:, None]) * np.minimum(symbols, _SURE_SYMBOLS)[:, None]
+    score = np.where(some, 1 / np.exp(-gap).sum(axis=1), 0.0)
+    excess = open_entropy - fitted.mean - DEVIATIONS * fitted.spread / np.sqrt(least_one)
+    return {
+        "lang_pred": np.where(some, names[best], UNKNOWN).tolist(),
+        "score": score.tolist(),
+        "entropy": [x if s else None for x, s in zip(least.tolist(), some.tolist(), strict=True)],
+        "open_entropy": [x if s else None for x, s in zip(open_entropy.tolist(), some.tolist(), strict=True)],
+        "symbols": symbols.tolist(),
+        "rejected": (~some | (excess > fitted.slack)).tolist(),
+    }
+
+
 def identify(docs: DataFrame, model: Broadcast, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, lang_pred, score, entropy, symbols, rejected) for every row of ``docs``.
+    """(id, lang_pred, score, entropy, open_entropy, symbols, rejected) for every row of ``docs``.
 
     ``entropy`` is the least cross-entropy in nats per symbol, ``open_entropy`` that with
-    each word in its best language; ``score`` is the posterior of the language predicted, from at most ``_SURE_SYMBOLS`` symbols' worth of evidence. Null texts
-    and texts without a letter are ``und`` with score 0, null entropy, and rejected. Ties
-    go to the first language by name. Repeated and null ids are rows of their own.
+    each word in its best language; ``score`` is the posterior of the language predicted,
+    from at most ``_SURE_SYMBOLS`` symbols' worth of evidence. Null texts and texts
+    without a letter are ``und`` with score 0, null entropy, and rejected. Ties go to the
+    first language by name. Repeated and null ids are rows of their own.
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         scorer = _scorer(model)
-        fitted = scorer.model
-        names = np.array(fitted.languages, object)
         for batch in batches:
-            logs, symbols = scorer(batch["text"].to_pylist())
-            some, least_one = symbols > 0, np.maximum(symbols, 1)
-            entropy = -logs / least_one[:, None]
-            entropy, open_entropy = entropy[:, :-1], entropy[:, -1]
-            best = entropy.argmin(axis=1)
-            least = entropy[np.arange(len(best)), best]
-            gap = (entropy - least[:, None]) * np.minimum(symbols, _SURE_SYMBOLS)[:, None]
-            score = np.where(some, 1 / np.exp(-gap).sum(axis=1), 0.0)
-            excess = open_entropy - fitted.mean - DEVIATIONS * fitted.spread / np.sqrt(least_one)
-            yield {
-                "ident": batch["ident"],
-                "lang_pred": np.where(some, names[best], UNKNOWN).tolist(),
-                "score": score.tolist(),
-                "entropy": [x if s else None for x, s in zip(least.tolist(), some.tolist(), strict=True)],
-                "open_entropy": [x if s else None for x, s in zip(open_entropy.tolist(), some.tolist(), strict=True)],
-                "symbols": symbols.tolist(),
-                "rejected": (~some | (excess > fitted.slack)).tolist(),
-            }
+            yield _judge(scorer, batch["text"].to_pylist()) | {"ident": batch["ident"]}
 
     slim = docs.selectExpr(f"`{ident}` AS ident", f"`{text}` AS text")
     schema = (
@@ -354,11 +359,24 @@ def train(
     return spark.sparkContext.broadcast(model)
 
 
+def train_on_documents(docs: DataFrame) -> Broadcast:
+    """Learn from the documents whose crc32 remainder is not 1."""
+    return train(docs.where(remainder("doc_id", 3) != 1))
+
+
 def predict_languages(docs: DataFrame) -> DataFrame:
     """Learn from documents whose crc32 remainder is not 1, then judge every document."""
-    held_out = remainder("doc_id", 3) == 1
-    model = train(docs.where(~held_out))
-    found = identify(docs, model)
-    return found.select(
-        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "entropy", "rejected"
-    )
+    found = identify(docs, train_on_documents(docs))
+    held_out = (remainder("doc_id", 3) == 1).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "entropy", "rejected")
+
+
+def in_known_languages(docs: DataFrame) -> DataFrame:
+    """All columns of the documents that are not rejected; texts without a letter go, too."""
+    model = train_on_documents(docs)
+
+    def run(batch):
+        found = _judge(_scorer(model), batch.column("text").to_pylist())
+        return batch.filter(np.logical_not(np.array(found["rejected"], bool)))
+
+    return change_batches(docs, run)

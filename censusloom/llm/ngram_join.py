@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from censusloom.llm.common import WORD, map_batches, stored, with_key
+from censusloom.llm.common import WORD, free_name, map_batches, stored, with_key
 from censusloom.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -285,17 +285,8 @@ def _in_blocks(df: DataFrame, group: str, rows: str, block_rows: int) -> DataFra
     )
 
 
-def similarity_join(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """Near copies of every document: (id, class_id, copy_id, n_links, n_linked_texts).
-
-    ``copy_id`` is the least id with the same shingles, ``class_id`` the least id
-    connected through similar texts. ``n_links`` counts the other documents of similarity
-    0.8 or more, copies included; ``n_linked_texts`` the different sets among them. Texts
-    without words (null and empty ones, too) link to nothing and are classes of their
-    own. Repeated rows are copies of each other. An empty table gives no rows.
-    """
-    keyed, odd = with_key(docs, ident, text)
-    plain = keyed.select(F.col("_key").alias("key"), F.col(text).alias("text"))
+def join_keyed(plain: DataFrame) -> DataFrame:
+    """:func:`similarity_join` for (key, text) with unique long keys: (key, class, copy, n_links, n_linked_texts)."""
     sketches = stored(
         map_batches(plain, _sketch, "key bigint, size bigint, set_a bigint, set_b bigint, values binary"), "sketches"
     )
@@ -351,7 +342,7 @@ def similarity_join(docs: DataFrame, ident: str = "doc_id", text: str = "text")
             F.coalesce("texts", F.lit(0)).cast("bigint").alias("n_linked_texts"),
         )
     )
-    found = (
+    return (
         sketches.select("key", *same)
         .join(facts, same, "left")
         .select(
@@ -362,16 +353,28 @@ def similarity_join(docs: DataFrame, ident: str = "doc_id", text: str = "text")
             F.coalesce("n_linked_texts", F.lit(0)).cast("bigint").alias("n_linked_texts"),
         )
     )
+
+
+def similarity_join(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """Near copies of every document: (id, class_id, copy_id, n_links, n_linked_texts).
+
+    ``copy_id`` is the least id with the same shingles, ``class_id`` the least id
+    connected through similar texts. ``n_links`` counts the other documents of similarity
+    0.8 or more, copies included; ``n_linked_texts`` the different sets among them. Texts
+    without words (null and empty ones, too) link to nothing and are classes of their
+    own. Repeated rows are copies of each other. An empty table gives no rows.
+    """
+    slim = docs.select(F.col(ident).alias("ident"), F.col(text).alias("text"))
+    keyed, odd = with_key(slim, "ident", "text", "key")
+    found = join_keyed(keyed.select("key", "text"))
     if not odd:
-        return found.select(
-            F.col("key").alias(ident), F.col("class").alias("class_id"), F.col("copy").alias("copy_id"),
-            "n_links", "n_linked_texts",
-        )
+        named = {"key": ident, "class": "class_id", "copy": "copy_id"}
+        return found.select(*[F.col(c).alias(named.get(c, c)) for c in found.columns])
     # Ids repeat or are null: the keys are row numbers, so look the ids up.
-    names = keyed.select(F.col("_key"), F.col(ident).alias("_id"))
+    names = keyed.select(F.col("key").alias("_key"), F.col("ident").alias("_id"))
     for column, name in (("key", ident), ("class", "class_id"), ("copy", "copy_id")):
-        found = found.join(names, F.col(column) == F.col("_key")).drop("_key").withColumnRenamed("_id", name)
-    return found.select(ident, "class_id", "copy_id", "n_links", "n_linked_texts", F.col("key").alias("row_key"))
+        found = found.join(names, F.col(column) == F.col("_key")).drop("_key", column).withColumnRenamed("_id", name)
+    return found.select(ident, "class_id", "copy_id", "n_links", "n_linked_texts")
 
 
 def _upper_halves(batches: Iterator[dict]) -> Iterator[dict]:
@@ -391,13 +394,12 @@ def _sets(batches: Iterator[dict]) -> Iterator[dict]:
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """All columns of the document of least id of each group of near copies.
+    """All columns of the first document (by id, then text) of each group of near copies.
 
-    Of repeated rows one stays. Other documents, those without words included, all stay.
+    Of repeated rows one stays. Documents without near copies or words all stay.
     """
-    columns = docs.columns
-    found = similarity_join(docs)
-    if "row_key" in found.columns:
-        raise ValueError("doc_id must be unique to choose one document of each group")
-    first = found.where("doc_id = class_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*columns)
+    key = free_name(docs, "_key")
+    keyed, _ = with_key(docs, "doc_id", "text", key)
+    found = join_keyed(keyed.select(F.col(key).alias("key"), "text"))
+    first = found.where(F.col("key") == F.col("class")).select(F.col("key").alias(key))
+    return keyed.join(first, key, "left_semi").select(*docs.columns)

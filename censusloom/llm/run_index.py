@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from censusloom.llm.common import map_batches, stored, with_key
+from censusloom.llm.common import free_name, map_batches, stored, with_key
 
 LENGTH = 100
 GRAM = 32
@@ -405,6 +405,15 @@ def _cut(batches: Iterator[dict]) -> Iterator[dict]:
         yield out | {"key": batch["key"]}
 
 
+def cut_keyed(plain: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+    """(key, n_bytes, starts, stops, kept) for (key, text) with unique long keys that give the order."""
+    spans = removed_spans(plain, hot_segments)
+    pairs = spans.groupBy("key").agg(F.flatten(F.collect_list(F.array("start", "size"))).alias("spans"))
+    joined = plain.select("key", "text").join(pairs, "key", "left")
+    schema = "key bigint, n_bytes bigint, starts array<bigint>, stops array<bigint>, kept binary"
+    return map_batches(joined.select("key", "text", "spans"), _cut, schema)
+
+
 def remove_repeats(
     docs: DataFrame, ident: str = "doc_id", text: str = "text", hot_segments: int = HOT_SEGMENTS
 ) -> DataFrame:
@@ -414,45 +423,35 @@ def remove_repeats(
     fewer than ``LENGTH`` bytes. Rows that repeat an id are ordered by their texts, and
     the later one repeats the earlier. An empty table gives no rows.
     """
-    keyed, odd = with_key(docs, ident, text)
-    plain = keyed.select(F.col("_key").alias("key"), F.col(ident).alias("ident"), F.col(text).alias("text"))
-    spans = removed_spans(plain, hot_segments)
-    pairs = spans.groupBy("key").agg(F.flatten(F.collect_list(F.array("start", "size"))).alias("spans"))
-    joined = plain.select("key", "text").join(pairs, "key", "left")
-    schema = "key bigint, n_bytes bigint, starts array<bigint>, stops array<bigint>, kept binary"
-    found = map_batches(joined.select("key", "text", "spans"), _cut, schema)
+    slim = docs.select(F.col(ident).alias("ident"), F.col(text).alias("text"))
+    keyed, odd = with_key(slim, "ident", "text", "key")
+    found = cut_keyed(keyed.select("key", "text"), hot_segments)
     if not odd:
         return found.withColumnRenamed("key", ident)
-    names = plain.select("key", F.col("ident").alias("_ident"))
-    return found.join(names, "key").drop("key").withColumnRenamed("_ident", ident)
+    return found.join(keyed.select("key", "ident"), "key").drop("key").withColumnRenamed("ident", ident)
+
+
+def _shortened(batches: Iterator[dict]) -> Iterator[dict]:
+    for batch in batches:
+        yield {"key": batch["key"], "text": [b.as_py().decode("utf-8", "ignore") for b in batch["kept"]]}
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, with repeated passages cut out of ``text`` and ``n_chars`` counted anew.
+    """All rows and columns of ``docs``, with repeated passages cut out of ``text`` (and ``n_chars`` to match).
 
     A character that loses some of its bytes goes as a whole. Texts that nothing was cut
     from stay as they are; those that lose everything become empty.
     """
-    keyed, odd = with_key(docs, "doc_id", "text")
-    if odd:
-        raise ValueError("doc_id must be unique to change the texts of documents")
-    found = remove_repeats(docs)
-
-    def decode(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            yield {
-                "_id": batch["doc_id"],
-                "_text": [b.as_py().decode("utf-8", "ignore") for b in batch["kept"]],
-            }
-
-    changed = found.where(F.size("starts") > 0).select("doc_id", "kept")
-    texts = map_batches(changed, decode, "_id bigint, _text string")
-    joined = docs.join(texts, F.col("doc_id") == F.col("_id"), "left")
-    fresh = F.coalesce("_text", "text")
-    columns = {"text": fresh}
+    key, fresh = free_name(docs, "_key"), free_name(docs, "_fresh")
+    keyed, _ = with_key(docs, "doc_id", "text", key)
+    found = cut_keyed(keyed.select(F.col(key).alias("key"), "text")).where(F.size("starts") > 0)
+    texts = map_batches(found.select("key", "kept"), _shortened, "key bigint, text string")
+    joined = keyed.join(texts.select(F.col("key").alias(key), F.col("text").alias(fresh)), key, "left")
+    changed = F.col(fresh).isNotNull()
+    columns = {"text": F.coalesce(fresh, "text")}
     if "n_chars" in docs.columns:
-        counted = F.when(F.col("_id").isNotNull(), F.length(fresh).cast("bigint")).otherwise(F.col("n_chars"))
-        columns["n_chars"] = counted
+        counted = F.length(fresh).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(changed, counted).otherwise(F.col("n_chars"))
     return joined.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
 
 
