@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,8 +38,23 @@ def rows_to_arrow(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields])
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this library importable on all executors, once per application.
+
+    The driver serves the archive itself; where it is built matters to the driver only.
+    """
+    context = spark.sparkContext
+    name = "censusloom-shipped.zip"
+    if name not in context._python_includes:
+        package = Path(__file__).resolve().parent.parent
+        folder = tempfile.mkdtemp(prefix="censusloom-")
+        made = shutil.make_archive(f"{folder}/{name.removesuffix('.zip')}", "zip", package.parent, package.name)
+        context.addPyFile(made)
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` over dicts of columns; ``function`` gets and yields dicts of Arrow arrays or lists."""
+    ship(df.sparkSession)
     struct = T._parse_datatype_string(schema)
     arrow = rows_to_arrow(struct)
 
@@ -92,6 +110,8 @@ def with_key(docs: DataFrame, ident: str, text: str, key: str) -> tuple[DataFram
 def change_batches(docs: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """``docs`` with each Arrow batch changed or filtered; all columns keep their types."""
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return map(function, batches)
 

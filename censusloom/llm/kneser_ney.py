@@ -348,14 +348,12 @@ def train(
     counts: dict[str, Counter] = {}
     for row in _gram_counts(sample.where(~held)).collect():
         counts.setdefault(row.lang, Counter())[row.gram] = row.n
-    model = fit(counts, sorted(counts))
-    columns = len(model.languages)
-    if columns:
+    if counts:
+        model = fit(counts, sorted(counts))
         _calibrate(model, sample.where(held))
     else:
-        model.languages, model.floor = [UNKNOWN], np.zeros(1)
-        model.keys, model.logs = [np.empty(0, np.uint64)] * ORDER, [np.zeros((0, 1))] * ORDER
-        model.context_keys, model.back_offs = [np.empty(0, np.uint64)] * ORDER, [np.zeros((0, 1))] * ORDER
+        none, nothing = [np.empty(0, np.uint64)] * ORDER, [np.zeros((0, 1))] * ORDER
+        model = Model([UNKNOWN], none, nothing, none, nothing, np.zeros(1))
     return spark.sparkContext.broadcast(model)
 
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from censusloom.llm.common import ship
+
 SCALE = 256
 QUERY_BLOCK = 2_048
 CANDIDATE_BLOCK = 16_384
@@ -117,6 +119,7 @@ def top_k(
     gives no rows. Vectors meet vectors of their own length only. Scores beyond 64 bits
     are an error.
     """
+    ship(queries.sparkSession)
     query_blocks = max(1, -(-queries.count() // query_block))
     candidate_blocks = max(1, -(-candidates.count() // candidate_block))
 
