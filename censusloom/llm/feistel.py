@@ -248,7 +248,7 @@ KINDS = (
         "secret",
         re.compile(
             r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*"
-            r"[\"']?([A-Za-z0-9_+/=.~!@#$%^&*-]{6,})"
+            r"[\"']?([A-Za-z0-9_+/=.~!@#$%^&*-]{5,}[A-Za-z0-9_+/=-])"
         ),
         _secret,
         1,

@@ -56,6 +56,13 @@ def test_invalid_values_stay(text):
     assert feistel.pseudonymise(text, KEY) == (text, [])
 
 
+def test_equal_values_stay_linked_whatever_follows():
+    for value in ("password=45bb0d53635bf1b89d", "10.1.2.3", "x.y@z.org", "4012888888881881", "+1 (988) 555-2485"):
+        alone = feistel.pseudonymise(value, KEY)[0]
+        for after in (".", ",", "!", ")", '"', ".\nNext"):
+            assert feistel.pseudonymise(f"({value}{after}", KEY)[0] == f"({alone}{after}"
+
+
 def test_different_values_differ():
     draw = random.Random(3)
     emails = {f"{draw.choice('abc')}{i}@x.org" for i in range(300)}
