@@ -256,7 +256,13 @@ KINDS = (
     Kind("cloud_key", re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"), _cloud_key),
     Kind("token", re.compile(r"\b(?:sk|pk|rk|ghp|gho|ghs|xox[abp])[-_]([A-Za-z0-9_-]{16,})"), _secret, 1),
     Kind("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban),
-    Kind("card", re.compile(_NUMBER_START + r"\d(?:[ -]?\d){12,18}" + r"(?![\w-])"), _card),
+    Kind(
+        "card",
+        re.compile(
+            _NUMBER_START + r"(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\w-])"
+        ),
+        _card,
+    ),
     Kind("ssn", re.compile(_NUMBER_START + r"\d{3}-\d{2}-\d{4}" + _NUMBER_END), _ssn),
     Kind("address", re.compile(_NUMBER_START + r"\d{1,3}(?:\.\d{1,3}){3}" + _NUMBER_END), _address),
     Kind(
@@ -267,7 +273,8 @@ KINDS = (
     Kind(
         "phone",
         re.compile(
-            r"(?<![\w+-])(?:\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,4})(?:[ .-]?\d{2,4}){1,4}"
+            r"(?<![\w+-])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}"
+            r"|\+(?!1\b)\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,4})(?:[ .-]?\d{2,4}){1,4}"
             r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})" + _NUMBER_END
         ),
         _phone,
@@ -286,8 +293,13 @@ def find(text: str, feistel: Feistel, undo: bool = False) -> list[tuple[int, int
             start, end = match.span(kind.group)
             if any(start < e and s < end for s, e, _, _ in found):
                 continue
-            fresh = kind.replace(feistel, match[kind.group], undo)
+            value = match[kind.group]
+            fresh = kind.replace(feistel, value, undo)
+            while fresh is None and " " in value:  # what follows after a space may be something else
+                value = value[: value.rindex(" ")]
+                fresh = kind.replace(feistel, value, undo) if value else None
             if fresh is not None:
+                end = start + len(value)
                 found.append((start, end, kind.name, fresh))
     return sorted(found)
 

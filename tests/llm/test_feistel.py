@@ -59,10 +59,19 @@ def test_invalid_values_stay(text):
 def test_equal_values_stay_linked_whatever_follows():
     for value in ("password=45bb0d53635bf1b89d", "10.1.2.3", "x.y@z.org", "4012888888881881", "+1 (988) 555-2485"):
         alone = feistel.pseudonymise(value, KEY)[0]
-        for after in (".", ",", "!", ")", '"', ".\nNext"):
+        for after in (".", ",", "!", ")", '"', ".\nNext", " 27 apples", " DEAR 12", " 1"):
             assert feistel.pseudonymise(f"({value}{after}", KEY)[0] == f"({alone}{after}"
 
 
+def test_neighbouring_values_are_all_found():
+    values = ["4012888888881881", "27.65.93.188", "+1 (988) 555-2485", "x.y@z.org", "DE89 3704 0044 0532 0130 00",
+              "078-05-1120", "1984-02-29"]
+    for a in values:
+        for b in values:
+            expected = [feistel.pseudonymise(v, KEY)[0] for v in (a, b)]
+            assert feistel.pseudonymise(f"{a} {b} end", KEY)[0] == f"{expected[0]} {expected[1]} end"
+
+
 def test_different_values_differ():
     draw = random.Random(3)
     emails = {f"{draw.choice('abc')}{i}@x.org" for i in range(300)}
