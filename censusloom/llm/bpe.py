@@ -53,20 +53,28 @@ class _Memo(dict):
 class ByteBpe:
     """Encoder and decoder for one rank file; ``memo_entries`` bounds each of its caches."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_entries: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_entries: int = 600_000):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.lengths = {rank: len(token) for token, rank in ranks.items()}
+        #: The longest token that is a proper prefix of each token, or -1.
+        self.shorter = {
+            rank: next((ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in ranks), -1)
+            for token, rank in ranks.items()
+        }
         self.pattern = regex.compile(pattern)
+        #: Whether the pattern takes letters after at most one space as one match.
+        self.letters_match = r" ?\p{L}+" in pattern.split("|")
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), rank)
+            self.automaton.add_word(token.decode("latin-1"), (rank, len(token) - 1))
         self.automaton.make_automaton()
-        self._spines = _Memo(self._spine, memo_entries)
-        self._compatible = _Memo(self._check, memo_entries)
-        self._first = _Memo(lambda chunk: self._chunk(chunk), memo_entries // 8)
-        self._spaced = _Memo(lambda chunk: self._chunk(" " + chunk), memo_entries)
-        self._piece = _Memo(lambda piece: self._text_of(self.encode_piece(piece.encode())), memo_entries)
+        self._spines = _Memo(self._spine, 2 * len(ranks))
+        self._compatible = _Memo(self._check, memo_entries // 2)
+        self._first = _Memo(lambda chunk: self._chunk(chunk, ""), memo_entries // 8)
+        self._spaced = _Memo(lambda chunk: self._chunk(chunk, " "), memo_entries)
+        self._piece = _Memo(self._piece_text, memo_entries // 8)
+        self._texts = {rank: f" {rank}" for rank in self.tokens}
         self._by_text = {str(rank): token for token, rank in ranks.items()}
 
     # Compatibility of neighbours
@@ -109,51 +117,44 @@ class ByteBpe:
         if whole is not None:
             return [whole]
         size, lengths, compatible = len(piece), self.lengths, self._compatible
-        found: list[list[int]] = [[] for _ in range(size)]
-        for end, rank in self.automaton.iter(piece.decode("latin-1")):
-            found[end + 1 - lengths[rank]].append(rank)
-        for ranks in found:
-            ranks.sort(key=lengths.__getitem__)  # longest last
+        # The longest token from each byte on: matches come by their ends, so it is the last.
+        longest = [0] * size
+        for end, (rank, back) in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - back] = rank
         dead = bytearray(size + 1)
         out: list[int] = []
-        tried: list[int] = []  # for each token, how many shorter ones are left to try
-        at, left = 0, len(found[0])
-        while at < size:
-            options = found[at]
-            while left:
-                left -= 1
-                rank = options[left]
-                if not dead[at + lengths[rank]] and (not out or compatible[out[-1], rank]):
-                    out.append(rank)
-                    tried.append(left)
-                    at += lengths[rank]
-                    left = len(found[at]) if at < size else 0
-                    break
-            else:
+        at, rank = 0, longest[0]
+        while True:
+            stop = at + lengths[rank]
+            if not dead[stop] and (not out or compatible[out[-1], rank]):
+                out.append(rank)
+                if stop == size:
+                    return out
+                at, rank = stop, longest[stop]
+                continue
+            rank = self.shorter[rank]
+            while rank < 0:  # nothing fits here: give up this position and shorten the token before
                 if not out:
                     raise ValueError("the vocabulary lacks a byte")
                 dead[at] = 1
-                at -= lengths[out.pop()]
-                left = tried.pop()
-        return out
-
-    @staticmethod
-    def _text_of(ids: Iterable[int]) -> str:
-        return "".join(f" {i}" for i in ids)
+                last = out.pop()
+                at, rank = at - lengths[last], self.shorter[last]
 
-    def _chunk(self, chunk: str) -> str | None:
-        """Ids of a chunk between two spaces, each after a space; None if it is not safe by itself.
+    def _chunk(self, body: str, space: str) -> str | None:
+        """Ids of a chunk after ``space``, each after a space; None if it is not safe by itself.
 
         The pattern always starts a match at a space that follows and precedes something
         other than white space, so chunks cut there may be encoded separately.
         """
-        body = chunk[1:] if chunk[:1] == " " else chunk
+        if body.isalpha() and self.letters_match:
+            return self._piece_text(space + body)
         if not body or body[0].isspace() or body[-1].isspace():
             return None
-        return "".join(map(self._piece_text, self.pattern.findall(chunk)))
+        return "".join(map(self._piece_text, self.pattern.findall(space + body)))
 
     def _piece_text(self, piece: str) -> str:
-        return self._text_of(self.encode_piece(piece.encode()))
+        texts = self._texts
+        return "".join([texts[rank] for rank in self.encode_piece(piece.encode())])
 
     def id_text(self, text: str) -> str:
         """The ids in decimal, each after one space."""
