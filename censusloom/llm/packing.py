@@ -21,6 +21,7 @@ from __future__ import annotations
 import bisect
 import heapq
 import os
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +35,7 @@ TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 16_384
 POOL_TOKENS = 2_000_000
 END_OF_TEXT = 1
-_MEMO = 300_000
+_MEMO = 1_200_000  # chunks remembered by one Python worker
 
 
 def default_tokenizer() -> str:
@@ -59,10 +60,8 @@ class _ChunkIds:
         self.memo: dict[str, bytes | None] = {}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         memo = self.memo
@@ -77,7 +76,7 @@ class _ChunkIds:
                 continue
             except (KeyError, TypeError):
                 pass
-            missing = {chunk for chunk in chunks if chunk not in memo}
+            missing = set(chunks).difference(memo)
             if len(memo) + len(missing) > self.limit:
                 memo.clear()
                 missing = set(chunks)
