@@ -374,9 +374,11 @@ def removed_spans(keyed: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFra
     collapsed = stored(map_batches(dealt, _collapse, _ROW), "segments")
 
     waiting = collapsed.where(F.col("kind") == _OPEN).select("gram", "key", "start", "size")
-    hot = waiting.groupBy("gram").agg((F.count("*") > hot_segments).cast("bigint").alias("hot"))
-    part = F.array("start", "size", "gram", "hot")
-    parts = waiting.join(hot, "gram").groupBy("key").agg(F.flatten(F.collect_list(part)).alias("parts"))
+    # At most one hot gram for each ``hot_segments`` open segments: small enough to broadcast.
+    hot = waiting.groupBy("gram").count().where(F.col("count") > hot_segments).select("gram", F.lit(1).alias("_hot"))
+    marked = waiting.join(F.broadcast(hot), "gram", "left")
+    part = F.array("start", "size", "gram", F.coalesce("_hot", F.lit(0)).cast("bigint"))
+    parts = marked.groupBy("key").agg(F.flatten(F.collect_list(part)).alias("parts"))
     texts = keyed.select("key", "text").join(parts, "key")
     opened = map_batches(texts.select("key", "text", "parts"), _extract, _ROW + ", bytes binary")
     sorted_rows = opened.repartition("gram").sortWithinPartitions(*_ORDER)
