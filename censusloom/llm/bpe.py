@@ -20,14 +20,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import ahocorasick
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from censusloom.llm.common import map_batches
+from censusloom.llm.common import map_batches, remembered
 
 _NEVER = 1 << 62
 
@@ -177,14 +176,17 @@ class ByteBpe:
         return b"".join(map(self._by_text.__getitem__, id_text.split()))
 
 
-@lru_cache(maxsize=2)
 def encoder(ranks_path: str, pattern: str = public_tokenizers.PATTERN) -> ByteBpe:
-    """One encoder per Python worker, so that its memos serve all tasks of the worker."""
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return ByteBpe(ranks, pattern)
 
 
+def _own_encoder(ranks_path: str) -> ByteBpe:
+    """One encoder per Python worker, so that its memos serve all tasks of the worker."""
+    return remembered(ranks_path, lambda: encoder(ranks_path))
+
+
 def encode(docs: DataFrame, ident: str = "doc_id", text: str = "text", ranks_path: str | None = None) -> DataFrame:
     """``ident`` and ``ids``, the token ids of the whole text (null and empty text: no ids).
 
@@ -193,7 +195,7 @@ def encode(docs: DataFrame, ident: str = "doc_id", text: str = "text", ranks_pat
     path = ranks_path or default_ranks()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        bpe = encoder(path)
+        bpe = _own_encoder(path)
         for batch in batches:
             yield {"ident": batch["ident"], "ids": [bpe.encode(t) for t in batch["text"].to_pylist()]}
 
@@ -206,7 +208,7 @@ def decode(encoded: DataFrame, ident: str = "doc_id", ids: str = "ids", ranks_pa
     path = ranks_path or default_ranks()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        bpe = encoder(path)
+        bpe = _own_encoder(path)
         for batch in batches:
             yield {"ident": batch["ident"], "decoded": [bpe.decode(x or ()) for x in batch["ids"].to_pylist()]}
 
@@ -219,7 +221,7 @@ def round_trip_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFr
     path = ranks_path or default_ranks()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        bpe = encoder(path)
+        bpe = _own_encoder(path)
         for batch in batches:
             counts, ids, decoded = [], [], []
             for text in batch["text"]:

@@ -38,11 +38,34 @@ def rows_to_arrow(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields])
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_STATE: dict = {}
+
+
+def claim(owner: str) -> None:
+    """Let go of what other operators remember in this Python worker: memory is for one at a time."""
+    if _STATE.get("owner") != owner:
+        _STATE.clear()
+        _STATE["owner"] = owner
+    pa.default_memory_pool().release_unused()
+
+
+def remembered(name, make: Callable):
+    """What :func:`make` gives, kept by this Python worker between tasks of the same operator."""
+    if name not in _STATE:
+        _STATE[name] = make()
+    return _STATE[name]
+
+
 def ship(spark: SparkSession) -> None:
     """Make this library importable on all executors, once per application.
 
     The driver serves the archive itself; where it is built matters to the driver only.
+    Arrow batches are kept small unless the session says otherwise: long texts make large
+    ones, of which the executor and each Python worker hold several copies.
     """
+    if spark.conf.get(_BATCH_BYTES) == "67108864b":  # Spark's own default
+        spark.conf.set(_BATCH_BYTES, "4m")
     context = spark.sparkContext
     name = "censusloom-shipped.zip"
     if name not in context._python_includes:
@@ -56,9 +79,10 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[dict]], Iterator[dic
     """``mapInArrow`` over dicts of columns; ``function`` gets and yields dicts of Arrow arrays or lists."""
     ship(df.sparkSession)
     struct = T._parse_datatype_string(schema)
-    arrow = rows_to_arrow(struct)
+    arrow, owner = rows_to_arrow(struct), function.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
         inputs = ({n: b.column(i) for i, n in enumerate(b.schema.names)} for b in batches)
         for out in function(inputs):
             yield pa.RecordBatch.from_arrays(
@@ -111,8 +135,10 @@ def change_batches(docs: DataFrame, function: Callable[[pa.RecordBatch], pa.Reco
     """``docs`` with each Arrow batch changed or filtered; all columns keep their types."""
 
     ship(docs.sparkSession)
+    owner = function.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
         return map(function, batches)
 
     return docs.mapInArrow(run, docs.schema)

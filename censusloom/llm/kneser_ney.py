@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from censusloom.llm.common import change_batches, map_batches, remainder, stored
+from censusloom.llm.common import change_batches, map_batches, remainder, remembered, stored
 
 ORDER = 4
 DOCUMENTS_PER_LANGUAGE = 1_000
@@ -37,7 +37,7 @@ UNKNOWN = "und"
 _PAD, _END = "\x02", "\x03"
 _WORD = re.compile(r"[^\W\d_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_MEMO_NUMBERS = 2_000_000  # remembered by one Python worker
+_MEMO_NUMBERS = 1_200_000  # remembered by one Python worker
 _SURE_SYMBOLS = 60
 
 
@@ -226,16 +226,14 @@ class _Scorer:
         self.logs[at : at + len(found)] = found
 
 
-_SCORERS: dict[int, _Scorer] = {}
-
-
 def _scorer(model: Broadcast) -> _Scorer:
-    """One scorer per Python worker and model."""
-    key = model._jbroadcast.id() if getattr(model, "_jbroadcast", None) else id(model.value)
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = _Scorer(model.value)
-    return _SCORERS[key]
+    """The scorer of this Python worker; another model replaces it."""
+    held = remembered("scorers", dict)
+    key = id(model.value)
+    if key not in held:
+        held.clear()
+        held[key] = _Scorer(model.value)
+    return held[key]
 
 
 def _judge(scorer: _Scorer, texts: Sequence[str | None]) -> dict[str, list]:
@@ -330,19 +328,27 @@ def train(
     The sample takes the documents with the smallest md5 of their id. One in
     ``CALIBRATION_SHARE`` of them is held back; a text is rejected beyond twice the largest
     excess seen there (at least ``LEAST_SLACK``), so clean documents stay. The model grows
-    with the sample, not with the corpus, and is broadcast. Rows without text, letters or
-    language teach nothing; without any usable row every text is ``und``.
+    with the sample, not with the corpus, and is broadcast. Rows without id, text, letters
+    or language teach nothing; without any usable row every text is ``und``.
     """
     spark = labelled.sparkSession
     usable = labelled.select(
         F.col(ident).alias("ident"), F.col(lang).alias("lang"), F.col(text).alias("text")
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("ident").cast("string")), "ident"))
-    named = labelled.select(F.col(ident).alias("ident"), F.col(lang).alias("lang")).where("lang IS NOT NULL")
-    chosen = named.withColumn("turn", turn).where(F.col("turn") <= documents_per_language)
+    named = labelled.select(F.col(ident).alias("ident"), F.col(lang).alias("lang"))
+    named = named.where("lang IS NOT NULL AND ident IS NOT NULL")
+    # The first rows by md5 lie below a share of all hashes; with three times the share
+    # needed they are all there but with negligible probability. One row per language.
+    sizes = named.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = F.conv(F.substring(F.md5(F.col("ident").cast("string")), 1, 8), 16, 10).cast("double") / 2.0**32
+    early = named.join(F.broadcast(sizes), "lang").where(
+        share <= F.lit(3.0 * documents_per_language) / F.col("rows")
+    )
+    chosen = early.select("ident", "lang").distinct().withColumn("turn", turn).where(F.col("turn") <= documents_per_language)
     # At most ``documents_per_language`` ids of each language are broadcast.
     ids = F.broadcast(chosen.select(F.col("ident").alias("_ident"), F.col("lang").alias("_lang"), "turn"))
-    joined = usable.join(ids, F.expr("ident <=> _ident AND lang = _lang"))
+    joined = usable.join(ids, F.expr("ident = _ident AND lang = _lang"))
     sample = stored(joined.select("ident", "lang", "text", "turn"), "language-sample")
     held = F.col("turn") % CALIBRATION_SHARE == 0
     counts: dict[str, Counter] = {}

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from censusloom.llm.common import WORD, free_name, map_batches, stored, with_key
+from censusloom.llm.common import WORD, free_name, map_batches, remembered, stored, with_key
 from censusloom.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -34,7 +34,7 @@ PRUNE_STEP, PRUNE_VALUES = 16, 64
 TOLERANCE = 1e-6
 BUCKET_BLOCK = 512
 FAMILY_BLOCK = 256
-_MEMO_WORDS = 400_000
+_MEMO_WORDS = 200_000
 _WORD = re.compile(WORD)
 _SEED = np.random.default_rng(20_240_607)
 _FACTORS = (_SEED.integers(0, 2**31, BANDS * BAND_VALUES, np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -60,9 +60,6 @@ class _WordHashes(dict):
         return value
 
 
-_WORDS = _WordHashes()
-
-
 def shingles(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of all windows of ``size`` words.
 
@@ -71,7 +68,8 @@ def shingles(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
     words = _WORD.findall(text or "")
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    known = remembered("words", _WordHashes)
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(size, len(words))
     count = len(words) - width + 1
     found = np.full(count, width, np.uint64)

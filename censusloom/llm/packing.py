@@ -23,19 +23,20 @@ import heapq
 import os
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from censusloom.llm.common import map_batches
+from censusloom.llm.common import map_batches, remembered
 
 TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 16_384
 POOL_TOKENS = 2_000_000
 END_OF_TEXT = 1
-_MEMO = 1_200_000  # chunks remembered by one Python worker
+_JOINED = 400  # chunks encoded by one call
+MEMO_CHUNKS = 1_000_000  # remembered by one Python worker, about 150 bytes each
 
 
 def default_tokenizer() -> str:
@@ -50,12 +51,16 @@ class _ChunkIds:
     A text with other spaces is encoded as a whole.
     """
 
-    def __init__(self, path: str, limit: int = _MEMO):
+    def __init__(self, path: str, limit: int = MEMO_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # The vocabulary is written with one character per byte.
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.lengths[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self.limit = limit
         self.memo: dict[str, bytes | None] = {}
 
@@ -63,6 +68,25 @@ class _ChunkIds:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
 
+    def encode_chunks(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Chunks that can be encoded separately, with their ids; many to a call.
+
+        Chunks after a space are joined and the ids cut where the bytes of a chunk end.
+        """
+        first = [chunk for chunk in chunks if chunk[:1] != " "]
+        yield from zip(first, self.encode_all(first), strict=True)
+        spaced = [chunk for chunk in chunks if chunk[:1] == " "]
+        for at in range(0, len(spaced), _JOINED):
+            group = spaced[at : at + _JOINED]
+            found = self.tokenizer.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids
+            ids = np.array(found, "<u4")
+            ends = np.cumsum(self.lengths[ids])
+            stops = 4 * (np.searchsorted(ends, np.cumsum([len(chunk.encode()) for chunk in group])) + 1)
+            body, start = ids.tobytes(), 0
+            for chunk, stop in zip(group, stops.tolist(), strict=True):
+                yield chunk, body[start:stop]
+                start = stop
+
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         memo = self.memo
         for text in texts:
@@ -82,17 +106,16 @@ class _ChunkIds:
                 missing = set(chunks)
             unsafe = {c for c in missing if not c[c[:1] == " " :] or c[c[:1] == " "].isspace() or c[-1].isspace()}
             memo.update(dict.fromkeys(unsafe))
-            safe = list(missing - unsafe)
-            memo.update(zip(safe, self.encode_all(safe), strict=True))
+            memo.update(self.encode_chunks(list(missing - unsafe)))
             try:
                 yield b"".join([memo[chunk] for chunk in chunks])
             except TypeError:
                 yield self.encode_all([text])[0]
 
 
-@lru_cache(maxsize=2)
-def _ids_of(path: str) -> _ChunkIds:
-    return _ChunkIds(path)
+def _ids_of(path: str, memo_chunks: int = MEMO_CHUNKS) -> _ChunkIds:
+    """One tokenizer per Python worker, so that its memo serves all tasks of the worker."""
+    return remembered((path, memo_chunks), lambda: _ChunkIds(path, memo_chunks))
 
 
 class _Rest:
@@ -226,6 +249,7 @@ def pack(
     step_tokens: int = STEP_TOKENS,
     pool_tokens: int = POOL_TOKENS,
     end_id: int = END_OF_TEXT,
+    memo_chunks: int = MEMO_CHUNKS,
 ) -> DataFrame:
     """Pieces of packed sequences with their ids, one row per piece.
 
@@ -234,12 +258,13 @@ def pack(
     is the length of the sequence and always full. A repeated or null id is packed as a
     document of its own each time. An empty table gives no rows. Sequence and step
     numbers are unique, not gapless; they follow the partition of the input.
+    ``memo_chunks`` trades memory of the Python workers for speed, nothing else.
     """
     path = tokenizer_path or default_tokenizer()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         base = TaskContext.get().partitionId() << 32
-        ids_of, end = _ids_of(path), end_id.to_bytes(4, "little")
+        ids_of, end = _ids_of(path, memo_chunks), end_id.to_bytes(4, "little")
 
         def documents() -> Iterator[tuple[object, bytes]]:
             for batch in batches:

@@ -34,8 +34,8 @@ def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences (operator 5)."""
-    pieces = packing.pack(docs)
+    """Pieces of packed sequences (operator 5); a smaller memo, as other stages fill the executors, too."""
+    pieces = packing.pack(docs, memo_chunks=300_000)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
