@@ -407,13 +407,17 @@ def _cut(batches: Iterator[dict]) -> Iterator[dict]:
         yield out | {"key": batch["key"]}
 
 
-def cut_keyed(plain: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """(key, n_bytes, starts, stops, kept) for (key, text) with unique long keys that give the order."""
+def _with_spans(plain: DataFrame, hot_segments: int) -> DataFrame:
+    """(key, text, spans): the removed spans of each text as start, size, start, size ..."""
     spans = removed_spans(plain, hot_segments)
     pairs = spans.groupBy("key").agg(F.flatten(F.collect_list(F.array("start", "size"))).alias("spans"))
-    joined = plain.select("key", "text").join(pairs, "key", "left")
+    return plain.select("key", "text").join(pairs, "key", "left").select("key", "text", "spans")
+
+
+def cut_keyed(plain: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+    """(key, n_bytes, starts, stops, kept) for (key, text) with unique long keys that give the order."""
     schema = "key bigint, n_bytes bigint, starts array<bigint>, stops array<bigint>, kept binary"
-    return map_batches(joined.select("key", "text", "spans"), _cut, schema)
+    return map_batches(_with_spans(plain, hot_segments), _cut, schema)
 
 
 def remove_repeats(
@@ -434,8 +438,13 @@ def remove_repeats(
 
 
 def _shortened(batches: Iterator[dict]) -> Iterator[dict]:
-    for batch in batches:
-        yield {"key": batch["key"], "text": [b.as_py().decode("utf-8", "ignore") for b in batch["kept"]]}
+    """The texts that lose something, as far as whole characters are left."""
+    for out in _cut(batches):
+        chosen = [at for at, starts in enumerate(out["starts"]) if starts]
+        keys = out["key"].to_pylist()
+        yield {
+            "key": [keys[at] for at in chosen], "text": [out["kept"][at].decode("utf-8", "ignore") for at in chosen]
+        }
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -446,8 +455,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     key, fresh = free_name(docs, "_key"), free_name(docs, "_fresh")
     keyed, _ = with_key(docs, "doc_id", "text", key)
-    found = cut_keyed(keyed.select(F.col(key).alias("key"), "text")).where(F.size("starts") > 0)
-    texts = map_batches(found.select("key", "kept"), _shortened, "key bigint, text string")
+    plain = keyed.select(F.col(key).alias("key"), "text")
+    texts = map_batches(_with_spans(plain, HOT_SEGMENTS), _shortened, "key bigint, text string")
     joined = keyed.join(texts.select(F.col("key").alias(key), F.col("text").alias(fresh)), key, "left")
     changed = F.col(fresh).isNotNull()
     columns = {"text": F.coalesce(fresh, "text")}
