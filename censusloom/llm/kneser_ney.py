@@ -8,8 +8,9 @@ sorted by the 64-bit hash of their n-gram, one column per language, next to the
 weights of the contexts. A text gets the language of least cross-entropy per symbol.
 
 For rejection every word counts in the language that suits it best, so a text that mixes
-known languages stays. Texts far above held-back training documents in this open
-cross-entropy are in no known language and rejected.
+known languages stays. Texts far above the labelled documents outside the fit in this open
+cross-entropy are in no known language and rejected. The limits are medians and
+percentiles over all those documents, so single garbage or mislabelled ones move nothing.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ from censusloom.llm.common import change_batches, map_batches, remainder, rememb
 
 ORDER = 4
 DOCUMENTS_PER_LANGUAGE = 1_000
-CALIBRATION_SHARE = 5  # one of so many sampled documents sets the rejection limit
+CALIBRATION_SHARE = 5  # one of so many sampled documents stays outside the fit
+LEAST_CALIBRATION = 20  # documents of a language from which its limit is measured
 DEVIATIONS = 6.0
 LEAST_SLACK = 0.5  # nats per symbol
+HIGH_EXCESS = 0.95  # share of the documents whose excess, if any, raises the limit
 DISCOUNT_FLOOR = 0.1
 UNKNOWN = "und"
 _PAD, _END = "\x02", "\x03"
@@ -39,6 +42,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MEMO_NUMBERS = 1_200_000  # remembered by one Python worker
 _SURE_SYMBOLS = 60
+_MEDIAN_TO_DEVIATION = 1.4826  # of a normal distribution
 
 
 def words_of(text: str | None) -> list[str]:
@@ -71,9 +75,8 @@ class Model:
     context_keys: list[np.ndarray] = field(default_factory=list)  # by length, from 0
     back_offs: list[np.ndarray] = field(default_factory=list)
     floor: np.ndarray | None = None  # log-probability of a symbol never seen
-    mean: float = 0.0  # open cross-entropy of calibration documents
+    limits: np.ndarray | None = None  # open cross-entropy that long texts may have, by language
     spread: float = 1.0  # its deviation for one symbol
-    slack: float = math.inf  # how far above both a text may be
 
     def megabytes(self) -> float:
         return sum(a.nbytes for a in (*self.keys, *self.logs, *self.context_keys, *self.back_offs)) / 1e6
@@ -135,6 +138,8 @@ def fit(counts: dict[str, Counter], languages: Sequence[str]) -> Model:
             counted[size].append(grams)
     alphabet = len({g for one in counted[1] for g in one}) + 1
     model.floor = np.empty(columns)
+    # Until measured: no worse than a uniform draw from the language's symbols.
+    model.limits = np.log([len(grams) + 1 for grams in counted[1]])
     lower: list[dict[str, float]] = []
     tables: list[list[dict[str, float]]] = []  # by order: language -> gram -> probability
     weights: list[list[dict[str, float]]] = []  # by order: language -> context -> back-off
@@ -195,10 +200,11 @@ class _Scorer:
     def __init__(self, model: Model, numbers: int = _MEMO_NUMBERS):
         self.model, self.limit = model, numbers // (len(model.languages) + 4)
         self.rows: dict[str, int] = {}
-        self.logs = np.zeros((0, len(model.languages) + 1))  # the last column is the best of all
+        # The last two columns are the best of all, and what its language allows.
+        self.logs = np.zeros((0, len(model.languages) + 2))
 
     def __call__(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probabilities (by language, then open) and number of symbols of each text."""
+        """Log-probabilities (by language, open, least allowed) and number of symbols of each text."""
         if len(self.rows) > self.limit:
             self.rows, self.logs = {}, self.logs[:0]
         logs = np.zeros((len(texts), self.logs.shape[1]))
@@ -212,7 +218,9 @@ class _Scorer:
             if fresh:
                 rows.update(zip(fresh, range(len(rows), len(rows) + len(fresh)), strict=True))
                 found = self.model.word_logs(fresh)
-                self._add(np.column_stack([found, found.max(axis=1)]), len(rows) - len(fresh))
+                lengths = np.fromiter(map(len, fresh), np.int64, len(fresh)) + 1
+                allowed = -self.model.limits[found.argmax(axis=1)] * lengths
+                self._add(np.column_stack([found, found.max(axis=1), allowed]), len(rows) - len(fresh))
             chosen = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
             logs[at] = self.logs[chosen].sum(axis=0)
             symbols[at] = sum(map(len, words)) + len(words)
@@ -243,19 +251,19 @@ def _judge(scorer: _Scorer, texts: Sequence[str | None]) -> dict[str, list]:
     logs, symbols = scorer(texts)
     some, least_one = symbols > 0, np.maximum(symbols, 1)
     entropy = -logs / least_one[:, None]
-    entropy, open_entropy = entropy[:, :-1], entropy[:, -1]
+    entropy, open_entropy, limit = entropy[:, :-2], entropy[:, -2], entropy[:, -1]
     best = entropy.argmin(axis=1)
     least = entropy[np.arange(len(best)), best]
     gap = (entropy - least[:, None]) * np.minimum(symbols, _SURE_SYMBOLS)[:, None]
     score = np.where(some, 1 / np.exp(-gap).sum(axis=1), 0.0)
-    excess = open_entropy - fitted.mean - DEVIATIONS * fitted.spread / np.sqrt(least_one)
+    excess = open_entropy - limit - DEVIATIONS * fitted.spread / np.sqrt(least_one)
     return {
         "lang_pred": np.where(some, names[best], UNKNOWN).tolist(),
         "score": score.tolist(),
         "entropy": [x if s else None for x, s in zip(least.tolist(), some.tolist(), strict=True)],
         "open_entropy": [x if s else None for x, s in zip(open_entropy.tolist(), some.tolist(), strict=True)],
         "symbols": symbols.tolist(),
-        "rejected": (~some | (excess > fitted.slack)).tolist(),
+        "rejected": (~some | (excess > 0)).tolist(),
     }
 
 
@@ -303,17 +311,30 @@ def _gram_counts(sample: DataFrame) -> DataFrame:
     return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _calibrate(model: Model, held_back: DataFrame) -> None:
-    """Set mean, spread and slack from documents that the models have not seen."""
-    raw = held_back.sparkSession.sparkContext.broadcast(model)
-    found = stored(identify(held_back, raw, "ident").where("symbols > 0"), "calibration")
-    mean = found.agg(F.avg("open_entropy")).first()[0]
-    if mean is None:
+def _calibrate(model: Model, outside: DataFrame) -> None:
+    """Set limits and spread from all documents that the models have not seen.
+
+    Each language's limit is the median of the documents predicted in it, plus
+    ``LEAST_SLACK`` and what their high percentile lies above the allowed deviations. A
+    language with fewer than ``LEAST_CALIBRATION`` such documents keeps the limit of the fit.
+    """
+    raw = outside.sparkSession.sparkContext.broadcast(model)
+    found = stored(
+        identify(outside, raw, "ident").where("symbols > 0").select("lang_pred", "open_entropy", "symbols"), "calibration"
+    )
+    middle = F.percentile_approx("open_entropy", 0.5, 10_000).alias("middle")
+    centers = found.groupBy("lang_pred").agg(middle, F.count("*").alias("n")).where(F.col("n") >= LEAST_CALIBRATION)
+    # One row per language.
+    found = found.join(F.broadcast(centers), "lang_pred")
+    deviation = F.col("open_entropy") - F.col("middle")
+    spread = found.agg(F.percentile_approx(F.abs(deviation) * F.sqrt("symbols"), 0.5, 10_000)).first()[0]
+    if spread is None:
         return
-    deviation = F.col("open_entropy") - F.lit(mean)
-    spread = math.sqrt(found.agg(F.avg(deviation * deviation * F.col("symbols"))).first()[0])
-    most = found.agg(F.max(deviation - F.lit(DEVIATIONS * spread) / F.sqrt("symbols"))).first()[0]
-    model.mean, model.spread, model.slack = mean, spread, max(LEAST_SLACK, 2 * most)
+    model.spread = _MEDIAN_TO_DEVIATION * spread
+    excess = deviation - F.lit(DEVIATIONS * model.spread) / F.sqrt("symbols")
+    high = F.percentile_approx(excess, HIGH_EXCESS, 10_000).alias("high")
+    for row in found.groupBy("lang_pred", "middle").agg(high).collect():
+        model.limits[model.languages.index(row.lang_pred)] = row.middle + LEAST_SLACK + max(0.0, row.high)
 
 
 def train(
@@ -323,18 +344,18 @@ def train(
     lang: str = "lang",
     documents_per_language: int = DOCUMENTS_PER_LANGUAGE,
 ) -> Broadcast:
-    """Fit and calibrate on at most ``documents_per_language`` documents of each language.
+    """Fit on at most ``documents_per_language`` documents of each language, calibrate on the others.
 
     The sample takes the documents with the smallest md5 of their id. One in
-    ``CALIBRATION_SHARE`` of them is held back; a text is rejected beyond twice the largest
-    excess seen there (at least ``LEAST_SLACK``), so clean documents stay. The model grows
-    with the sample, not with the corpus, and is broadcast. Rows without id, text, letters
-    or language teach nothing; without any usable row every text is ``und``.
+    ``CALIBRATION_SHARE`` of them is held back; these and all labelled documents outside
+    the sample set the rejection limits. The model grows with the sample, not with the
+    corpus, and is broadcast. Rows without id, text, letters or language teach nothing;
+    without any usable row every text is ``und`` and only texts without a letter are rejected.
     """
     spark = labelled.sparkSession
     usable = labelled.select(
         F.col(ident).alias("ident"), F.col(lang).alias("lang"), F.col(text).alias("text")
-    ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    ).where(F.col("ident").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("ident").cast("string")), "ident"))
     named = labelled.select(F.col(ident).alias("ident"), F.col(lang).alias("lang"))
     named = named.where("lang IS NOT NULL AND ident IS NOT NULL")
@@ -347,19 +368,19 @@ def train(
     )
     chosen = early.select("ident", "lang").distinct().withColumn("turn", turn).where(F.col("turn") <= documents_per_language)
     # At most ``documents_per_language`` ids of each language are broadcast.
-    ids = F.broadcast(chosen.select(F.col("ident").alias("_ident"), F.col("lang").alias("_lang"), "turn"))
-    joined = usable.join(ids, F.expr("ident = _ident AND lang = _lang"))
-    sample = stored(joined.select("ident", "lang", "text", "turn"), "language-sample")
-    held = F.col("turn") % CALIBRATION_SHARE == 0
+    ids = stored(chosen.select(F.col("ident").alias("_ident"), F.col("lang").alias("_lang"), "turn"), "language-ids")
+    fitted = ids.where(F.col("turn") % CALIBRATION_SHARE != 0)
+    same = F.expr("ident = _ident AND lang = _lang")
+    sample = stored(usable.join(F.broadcast(fitted), same).select("lang", "text"), "language-sample")
     counts: dict[str, Counter] = {}
-    for row in _gram_counts(sample.where(~held)).collect():
+    for row in _gram_counts(sample).collect():
         counts.setdefault(row.lang, Counter())[row.gram] = row.n
     if counts:
         model = fit(counts, sorted(counts))
-        _calibrate(model, sample.where(held))
+        _calibrate(model, usable.join(F.broadcast(fitted), same, "left_anti"))
     else:
         none, nothing = [np.empty(0, np.uint64)] * ORDER, [np.zeros((0, 1))] * ORDER
-        model = Model([UNKNOWN], none, nothing, none, nothing, np.zeros(1))
+        model = Model([UNKNOWN], none, nothing, none, nothing, np.zeros(1), np.full(1, math.inf))
     return spark.sparkContext.broadcast(model)
 
 

@@ -1,3 +1,5 @@
+import random
+import string
 from collections import Counter
 
 import numpy as np
@@ -116,3 +118,33 @@ def test_nothing_to_learn_from(spark):
     assert {r.lang_pred for r in kn.predict_languages(docs).collect()} == {"und"}
     assert kn.predict_languages(docs.limit(0)).count() == 0
     assert kn.predict_languages(documents(spark, odd_rows())).count() == len(odd_rows())
+
+
+DUTCH = (
+    "Het oude huis aan de gracht werd vorig jaar door een jong gezin gekocht en zorgvuldig opgeknapt. "
+    "Tegenwoordig zitten zij elke zondag buiten en kijken naar de schepen die langzaam voorbij varen. "
+)
+
+
+def garbage(seed, words=30):
+    draw = random.Random(seed)
+    return " ".join("".join(draw.choices(string.ascii_lowercase, k=draw.randint(3, 9))) for _ in range(words))
+
+
+def test_garbage_labels_do_not_raise_the_limit(spark):
+    rows = [(i, t, lang, "s", 1) for i, t, lang in parquet_rows("documents", "doc_id, text, lang")]
+    docs = documents(spark, rows + [(5000 + i, garbage(i), "en", "s", 1) for i in range(4)])
+    model = kn.train(docs, documents_per_language=40)
+    asked = [(1, DUTCH * 5, None, "s", 1), (2, garbage(99, 300), None, "s", 1), (3, rows[0][1], None, "s", 1)]
+    found = {r.doc_id: r.rejected for r in kn.identify(documents(spark, asked), model).collect()}
+    assert found == {1: True, 2: True, 3: False}
+    kept = kn.identify(documents(spark, rows), model).where("NOT rejected").count()
+    assert kept == len(rows)
+
+
+def test_limit_without_held_back_rows(spark):
+    rows = [(i, t, "en", "s", 1) for i, t, lang in parquet_rows("documents", "doc_id, text, lang") if lang == "en"]
+    model = kn.train(documents(spark, rows[:4]))
+    asked = [(1, "Съешь же ещё этих мягких французских булок да выпей чаю " * 20, None, "s", 1), (2, rows[9][1], None, "s", 1)]
+    found = {r.doc_id: r.rejected for r in kn.identify(documents(spark, asked), model).collect()}
+    assert found == {1: True, 2: False}
