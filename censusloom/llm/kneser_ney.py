@@ -346,32 +346,34 @@ def train(
 ) -> Broadcast:
     """Fit on at most ``documents_per_language`` documents of each language, calibrate on the others.
 
-    The sample takes the documents with the smallest md5 of their id. One in
+    A document is an id with its text in a language, however many rows repeat it. The
+    sample takes those with the smallest md5 of id and text. One in
     ``CALIBRATION_SHARE`` of them is held back; these and all labelled documents outside
     the sample set the rejection limits. The model grows with the sample, not with the
     corpus, and is broadcast. Rows without id, text, letters or language teach nothing;
     without any usable row every text is ``und`` and only texts without a letter are rejected.
     """
     spark = labelled.sparkSession
+    place = F.md5(F.concat(F.col("ident").cast("string"), F.lit(" "), F.col("text"))).alias("place")
     usable = labelled.select(
         F.col(ident).alias("ident"), F.col(lang).alias("lang"), F.col(text).alias("text")
-    ).where(F.col("ident").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("ident").cast("string")), "ident"))
-    named = labelled.select(F.col(ident).alias("ident"), F.col(lang).alias("lang"))
-    named = named.where("lang IS NOT NULL AND ident IS NOT NULL")
-    # The first rows by md5 lie below a share of all hashes; with three times the share
-    # needed they are all there but with negligible probability. One row per language.
-    sizes = named.groupBy("lang").agg(F.count("*").alias("rows"))
-    share = F.conv(F.substring(F.md5(F.col("ident").cast("string")), 1, 8), 16, 10).cast("double") / 2.0**32
+    ).where(F.col("ident").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    usable = usable.select("ident", "lang", "text", place)
+    named = stored(usable.select("lang", "place"), "language-places")
+    # The first places lie below a share of all hashes; with three times the share needed
+    # they are all there but with negligible probability. One row per language.
+    sizes = named.groupBy("lang").agg(F.approx_count_distinct("place").alias("documents"))
+    share = F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / 2.0**32
     early = named.join(F.broadcast(sizes), "lang").where(
-        share <= F.lit(3.0 * documents_per_language) / F.col("rows")
+        share <= F.lit(3.0 * documents_per_language) / F.col("documents")
     )
-    chosen = early.select("ident", "lang").distinct().withColumn("turn", turn).where(F.col("turn") <= documents_per_language)
-    # At most ``documents_per_language`` ids of each language are broadcast.
-    ids = stored(chosen.select(F.col("ident").alias("_ident"), F.col("lang").alias("_lang"), "turn"), "language-ids")
-    fitted = ids.where(F.col("turn") % CALIBRATION_SHARE != 0)
-    same = F.expr("ident = _ident AND lang = _lang")
-    sample = stored(usable.join(F.broadcast(fitted), same).select("lang", "text"), "language-sample")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    chosen = early.select("lang", "place").distinct().withColumn("turn", turn).where(F.col("turn") <= documents_per_language)
+    # At most ``documents_per_language`` places of each language are broadcast.
+    fitted = stored(chosen.where(F.col("turn") % CALIBRATION_SHARE != 0).select("lang", "place"), "language-ids")
+    same = ["lang", "place"]
+    once = usable.join(F.broadcast(fitted), same).groupBy(same).agg(F.min("text").alias("text"))
+    sample = stored(once, "language-sample")
     counts: dict[str, Counter] = {}
     for row in _gram_counts(sample).collect():
         counts.setdefault(row.lang, Counter())[row.gram] = row.n

@@ -148,3 +148,17 @@ def test_limit_without_held_back_rows(spark):
     asked = [(1, "Съешь же ещё этих мягких французских булок да выпей чаю " * 20, None, "s", 1), (2, rows[9][1], None, "s", 1)]
     found = {r.doc_id: r.rejected for r in kn.identify(documents(spark, asked), model).collect()}
     assert found == {1: True, 2: False}
+
+
+def test_repeated_rows_and_ids_take_one_place(spark, monkeypatch):
+    counted = []
+    original = kn._gram_counts
+    monkeypatch.setattr(kn, "_gram_counts", lambda sample: (counted.append(sample.collect()), original(sample))[1])
+    texts = sorted({t for t, lang in parquet_rows("documents", "text, lang") if lang == "en"})[:60]
+    repeated = [(i, t, "en", "s", 1) for i, t in enumerate(texts) for _ in range(40)]
+    blank = [(10_000 + i, "12 !?" if i % 2 else None, "en", "s", 1) for i in range(400)]
+    one_id = [(77, f"{t} {i}", "de", "s", 1) for i, t in enumerate(texts * 3)]
+    kn.train(documents(spark, repeated + blank + one_id), documents_per_language=20)
+    sampled = Counter(r.lang for r in counted[0])
+    assert sampled == {"en": 16, "de": 16}
+    assert len({r.text for r in counted[0] if r.lang == "en"}) == 16
