@@ -3,8 +3,9 @@
 Every text becomes a fixed vector of features. A document labelled good is preferred to
 one labelled bad; the Bradley-Terry model says it wins with probability
 ``sigmoid(w . (x_good - x_bad))``, and the weights follow from the logistic loss on the
-feature differences. The score ``w . x`` is cut at the quantile that leaves as large a
-share below as the labels call bad; the cut becomes 0.7 on the scale from 0 to 1.
+feature differences of a bounded sample. The score ``w . x`` of all labelled documents is
+cut at the quantile that leaves as large a share below as the labels call bad; the cut
+becomes 0.7 on the scale from 0 to 1.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ TRAINING_DOCUMENTS = 20_000
 ROUNDS = 3
 CUT_SCORE = 0.7
 REGULARISATION = 1e-3
+_RANK_ACCURACY = 100_000  # ranks of scores are exact to this part of their number
 
 FEATURES = (
     "log_words", "mean_word", "long_words", "upper", "letters", "digits", "symbols", "pipes", "doubled_marks",
@@ -106,6 +108,17 @@ def _dot(weights: Sequence[float], vector: str = "features") -> Column:
     return sum((F.col(vector)[i] * F.lit(w) for i, w in enumerate(weights)), F.lit(0.0))
 
 
+def cut_at_share(scored: DataFrame) -> float:
+    """The score between the documents at the share of bad labels, from all rows of (score, good)."""
+    rows, bad = scored.agg(F.count("*"), F.count_if(~F.col("good"))).first()
+    if not rows:
+        return 0.0
+    # Ranks ``bad`` and ``bad + 1``, of those there are.
+    shares = [(min(max(rank, 1), rows) - 0.5) / rows for rank in (bad, bad + 1)]
+    below, above = scored.agg(F.percentile_approx("score", F.array(*map(F.lit, shares)), _RANK_ACCURACY)).first()[0]
+    return (below + above) / 2
+
+
 def fit(sample: DataFrame, rounds: int = ROUNDS, regularisation: float = REGULARISATION) -> tuple[list[float], float]:
     """Weights of the raw features, and the cut: the quantile at the share of bad labels.
 
@@ -130,9 +143,7 @@ def fit(sample: DataFrame, rounds: int = ROUNDS, regularisation: float = REGULAR
         fitIntercept=False, standardization=False, regParam=regularisation, maxIter=40, aggregationDepth=2
     ).fit(rows)
     weights = [float(c) * s for c, s in zip(model.coefficients, scales, strict=True)]
-    scored = sorted((r.score, r.good) for r in sample.select(_dot(weights).alias("score"), "good").collect())
-    bad = sum(not good for _, good in scored)
-    return weights, (scored[bad - 1][0] + scored[min(bad, len(scored) - 1)][0]) / 2
+    return weights, cut_at_share(sample.select(_dot(weights).alias("score"), "good"))
 
 
 def score(featured: DataFrame, weights: Sequence[float], cut: float) -> Column:
@@ -146,8 +157,8 @@ def classify(
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document.
 
-    Learns from at most ``training_documents`` labelled documents that are not held out,
-    those of least md5 of the id. Empty and null texts have zero features and the score
+    Learns weights from at most ``training_documents`` labelled documents that are not held
+    out, those of least md5 of the id, and the cut from all that are not held out. Empty and null texts have zero features and the score
     these give. Rows with repeated or null ids are scored one by one; labels that
     contradict each other count as bad; null labels are not used.
     """
@@ -164,6 +175,11 @@ def classify(
         "training",
     )
     weights, cut = fit(sample)
+    if any(weights):
+        # One score per id, so that a repeated id is no hot key of the join.
+        scored = featured.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(_dot(weights)).alias("score"))
+        judged = scored.join(known, "doc_id").select("score", (F.col("quality") == 1).alias("good"))
+        cut = cut_at_share(stored(judged, "judged"))
     return featured.select(
         "doc_id", held_out.alias("held_out"), score(featured, weights, cut).alias("score")
     ).withColumn("predicted", (F.col("score") >= CUT_SCORE).cast("int"))

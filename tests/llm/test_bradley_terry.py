@@ -1,6 +1,6 @@
 import math
 
-from helpers import SF, clashing, documents, odd_rows, parquet_rows
+from helpers import SF, clashing, documents, odd_rows, parquet_rows, prose
 
 from censusloom.llm import bradley_terry as bt
 from censusloom.llm.queries import QUERIES
@@ -55,3 +55,14 @@ def test_tables(spark):
     assert all(0 <= r.score <= 1 for r in found.collect())
     assert bt.classify(docs.limit(0), labels).count() == 0
     assert bt.classify(docs, labels.limit(0)).count() == len(odd_rows())
+
+
+def test_cut_rests_on_all_labels(spark, monkeypatch):
+    rows = [(i, prose(i, 30 + i % 50) + " | $$ 11" * (i % 4), "en", "s", 1) for i in range(400)]
+    labels = [(i, int(i % 4 == 0 or i % 8 == 2), 0) for i in range(400)]
+    cuts, original = [], bt.cut_at_share
+    monkeypatch.setattr(bt, "cut_at_share", lambda scored: (cuts.append(scored.count()), original(scored))[1])
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    found = bt.classify(documents(spark, rows), labels, training_documents=30).join(labels, "doc_id").where("NOT held_out").collect()
+    assert cuts[-1] == len(found) > 30
+    assert sum(not r.predicted for r in found) == sum(not r.quality for r in found)
