@@ -1,6 +1,6 @@
 """Shards along a Hilbert curve over several metadata dimensions.
 
-Each dimension is cut into 2^bits cells at its quantiles. The cells of a row give its
+Each dimension is cut into 2^bits cells at its quantiles, texts by their whole length. The cells of a row give its
 place on a Hilbert curve; neighbours on the curve are neighbours in all dimensions, so a
 run of the curve covers a small box and a filter on any dimension skips most shards.
 Rows are ordered along the curve by a range sort whose last keys are the text's crc32
@@ -55,21 +55,45 @@ def hilbert_index(cells: Sequence[int], bits: int) -> int:
     return place
 
 
-def text_order(column: str) -> Column:
-    """A number that orders texts by their first seven bytes (null: -1)."""
-    head = F.substring(F.encode(F.col(column), "UTF-8"), 1, 7)
-    return F.coalesce(F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("bigint"), F.lit(-1).cast("bigint"))
+def text_cuts(df: DataFrame, column: str, cells: int, values_per_partition: int = 250_000) -> list[str]:
+    """At most ``cells`` - 1 values that cut the rows into ``cells`` equal parts by whole texts, nulls first.
+
+    Rows are counted by value, so a value with many rows is one row here; the counted
+    values are sorted by range, and running counts per partition find the cuts.
+    """
+    counted = stored(df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")), "values")
+    kinds, rows = counted.agg(F.count("*"), F.sum("n")).first()
+    if not rows:
+        return []
+    ranged = counted.repartitionByRange(-(-kinds // values_per_partition), F.col("value").asc_nulls_first())
+    ranged = stored(ranged.withColumn("_part", F.spark_partition_id()), "ranged-values")
+    sizes = ranged.groupBy("_part").agg(F.sum("n").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    # One row per partition of the range sort.
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy(F.col("value").asc_nulls_first())
+    running = ranged.join(F.broadcast(starts), "_part").withColumn("_end", F.col("_start") + F.sum("n").over(inside))
+    # Part k ends at row k * rows / cells; the value that holds this row is a cut.
+    ends = [F.expr(f"CAST(_end * {cells} DIV {rows} AS INT)"), F.expr(f"CAST((_end - n) * {cells} DIV {rows} AS INT)")]
+    last = F.lit(cells - 1)
+    cuts = running.where(F.least(ends[0], last) > F.least(ends[1], last)).where("value IS NOT NULL")
+    return sorted((r.value for r in cuts.select("value").collect()), key=lambda v: v.encode("utf-8", "surrogatepass"))
 
 
 def curve_cells(df: DataFrame, dimensions: Sequence[str], bits: int = BITS, place: str = "place") -> DataFrame:
-    """Add ``place``, the row's place on the curve over numeric ``dimensions`` without nulls.
+    """Add ``place``, the row's place on the curve over text ``dimensions`` and numeric ones without nulls.
 
     The table of places has 2^(bits * dimensions) rows, whatever the data: it is broadcast.
     """
     cells = 1 << bits
     assert bits * len(dimensions) <= 15, "the table of places would be too large to broadcast"
     shares = [i / cells for i in range(1, cells)]
-    cuts = df.agg(*[F.percentile_approx(d, F.array(*map(F.lit, shares)), 10_000).alias(d) for d in dimensions]).first()
+    texts = [d for d in dimensions if df.schema[d].dataType.simpleString() == "string"]
+    cuts = {d: text_cuts(df, d, cells) for d in texts}
+    numbers = [d for d in dimensions if d not in texts]
+    if numbers:
+        quantiles = [F.percentile_approx(d, F.array(*map(F.lit, shares)), 10_000).alias(d) for d in numbers]
+        cuts |= df.agg(*quantiles).first().asDict()
 
     def cell(dimension: str) -> Column:
         """Number of distinct cut points below or at the value, so equal values share a cell."""
@@ -124,7 +148,7 @@ def shard_documents(
             F.col(ident).alias("_id"),
             (F.octet_length(body).cast("bigint") + 8).alias("_size_bytes"),
             F.crc32(body).alias("_crc"),
-            *[text_order(d).alias(f"_d{i}") for i, d in enumerate(dimensions)],
+            *[F.col(d).cast("string").alias(f"_d{i}") for i, d in enumerate(dimensions)],
         ),
         "slim",
     )

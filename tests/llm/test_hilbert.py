@@ -64,3 +64,25 @@ def test_files(spark, tmp_path):
     hilbert.write_shards(docs, hilbert.shard_documents(docs, shards=4), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 60 and back.select("shard").distinct().count() == 4
+
+
+def test_long_common_prefixes_are_told_apart(spark):
+    """Sources that differ only after many bytes still prune shards."""
+    sources = [f"https://www.example.org/{i:02d}" for i in range(24)]
+    rows = [(i, f"text {i}" * (i % 7 + 1), "en", sources[i * 7 % 24], 9) for i in range(1_200)]
+    found = hilbert.shard_documents(documents(spark, rows)).collect()
+    check_shards(found, [r[1] for r in rows])
+    met = {}
+    for r in found:
+        met.setdefault(rows[r.doc_id][3], set()).add(r.shard)
+    assert max(map(len, met.values())) <= 8
+
+
+def test_text_cuts(spark):
+    texts = [f"prefix-{i:03d}" for i in range(100) for _ in range(i % 3 + 1)] + [None] * 20 + ["prefix-050x"] * 60
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    ordered = sorted(texts, key=lambda t: (t is not None, t or ""))
+    expected = {ordered[-(-k * len(texts) // 16) - 1] for k in range(1, 16)} - {None}
+    for per_partition in (7, 1_000):
+        assert hilbert.text_cuts(df, "d", 16, per_partition) == sorted(expected)
+    assert hilbert.text_cuts(df.limit(0), "d", 16) == []
