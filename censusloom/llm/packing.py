@@ -48,15 +48,17 @@ class _ChunkIds:
 
     The tokenizer's pattern starts a match at every space between two characters that
     are not white space, so the chunks between such spaces can be encoded separately.
-    A text with other spaces is encoded as a whole.
+    A text with other spaces is encoded as a whole. ``special_tokens`` gives a special
+    token written in a text its own id, as the library does by default; otherwise it is
+    ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = MEMO_CHUNKS):
+    def __init__(self, path: str, limit: int = MEMO_CHUNKS, special_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special_tokens
         # The vocabulary is written with one character per byte.
         vocabulary = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -115,7 +117,7 @@ class _ChunkIds:
 
 def _ids_of(path: str, memo_chunks: int = MEMO_CHUNKS) -> _ChunkIds:
     """One tokenizer per Python worker, so that its memo serves all tasks of the worker."""
-    return remembered((path, memo_chunks), lambda: _ChunkIds(path, memo_chunks))
+    return remembered((path, memo_chunks), lambda: _ChunkIds(path, memo_chunks, special_tokens=True))
 
 
 class _Rest:
@@ -253,7 +255,8 @@ def pack(
 ) -> DataFrame:
     """Pieces of packed sequences with their ids, one row per piece.
 
-    A document is the ids of its whole text (null: empty) and ``end_id``; every id lies
+    A document is the ids of its whole text (null: empty; a special token written in the
+    text has its own id) and ``end_id``; every id lies
     in exactly one piece. ``ids`` are little-endian unsigned 32-bit numbers. ``window``
     is the length of the sequence and always full. A repeated or null id is packed as a
     document of its own each time. An empty table gives no rows. Sequence and step

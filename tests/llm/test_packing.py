@@ -99,3 +99,20 @@ def test_query(spark, tokenizer):
     )
     expected = {i: reference_ids(tokenizer, t) for i, t in parquet_rows("documents", "doc_id, text")}
     check_pieces([tuple(r) for r in found.collect()], expected)
+
+
+def test_special_tokens_in_texts_are_the_library_s(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.default_tokenizer())
+    draw = random.Random(5)
+    parts = ["word", " ", " ", "  ", "\n", "é", "1", ".", "<|endoftext|>", "<|endoftext|>", " <|endoftext|> "]
+    texts = ["a b<|endoftext|> c", *("".join(draw.choices(parts, k=draw.randint(0, 20))) for _ in range(600))]
+    for limit in (50, 100_000):
+        found = list(packing._ChunkIds(packing.default_tokenizer(), limit, special_tokens=True)(texts))
+        assert found == [b"".join(i.to_bytes(4, "little") for i in reference_ids(library, t)[:-1]) for t in texts]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    pieces = packing.pack(documents(spark, rows)).selectExpr(
+        "doc_id", "start", "length", "crc32(ids)", "doc_tokens", "sequence_id", "offset"
+    )
+    check_pieces([tuple(r) for r in pieces.collect()], {r[0]: reference_ids(library, r[1]) for r in rows})
