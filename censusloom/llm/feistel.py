@@ -241,6 +241,7 @@ class Kind:
 
 
 _NUMBER_START, _NUMBER_END = r"(?<![\w.+-])", r"(?![\w-]|\.\d)"
+_DATE_END = rf"(?:(?=T\d\d:)|{_NUMBER_END})"  # the time of an ISO timestamp may follow
 # In order: where two overlap, the first kind wins.
 KINDS = (
     Kind("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), _email),
@@ -267,7 +268,7 @@ KINDS = (
     Kind("address", re.compile(_NUMBER_START + r"\d{1,3}(?:\.\d{1,3}){3}" + _NUMBER_END), _address),
     Kind(
         "date",
-        re.compile(_NUMBER_START + r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})" + _NUMBER_END),
+        re.compile(_NUMBER_START + r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})" + _DATE_END),
         _date,
     ),
     Kind(

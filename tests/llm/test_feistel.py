@@ -101,3 +101,13 @@ def test_query(spark):
         assert feistel.pseudonymise(found[ident], feistel_key, undo=True)[0] == text
         spans = feistel.find(text, feistel_key)
         assert all(text[a:b] not in found[ident] for a, b, *_ in spans)
+
+
+def test_dates_of_timestamps_stay_linked():
+    day = feistel.pseudonymise("1984-02-29", KEY)[0]
+    for after in ("T10:11:12Z", "T10:11", "T10:11:12.5+02:00"):
+        done, kinds = feistel.pseudonymise(f"at 1984-02-29{after} logged", KEY)
+        assert (done, kinds) == (f"at {day}{after} logged", ["date"])
+        assert feistel.pseudonymise(done, KEY, undo=True)[0] == f"at 1984-02-29{after} logged"
+    for after in ("T10", "Tuesday", "T1:2"):
+        assert feistel.pseudonymise(f"1984-02-29{after}", KEY)[1] == []
