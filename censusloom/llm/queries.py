@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from censusloom.llm import bpe, bradley_terry, feistel, hilbert, kneser_ney, line_rules, ngram_join, packing, run_index, topk
+from censusloom.llm import bpe, bradley_terry, collocations, conversation_repair, feistel, hilbert, kneser_ney, line_rules, ngram_join, packing, run_index, topk
 from censusloom.llm.common import table
 from censusloom.llm.registry import QUERIES, SQL, query
 
@@ -65,3 +65,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_run_index")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_index.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_quotient_collocations", collocations.oracle_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_audit_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
