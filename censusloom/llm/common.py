@@ -33,7 +33,7 @@ def rows_to_arrow(schema: T.StructType) -> pa.Schema:
         "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(),
         "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()),
         "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()),
-        "array<float>": pa.list_(pa.float32()),
+        "array<float>": pa.list_(pa.float32()), "array<string>": pa.list_(pa.string()),
     }
     return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields])
 

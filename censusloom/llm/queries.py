@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from censusloom.llm import bpe, bradley_terry, collocations, conversation_repair, feistel, hilbert, kneser_ney, line_rules, ngram_join, packing, run_index, topk
+from censusloom.llm import bpe, bradley_terry, collocations, conversation_repair, feistel, hilbert, kneser_ney, line_rules, ngram_join, packing, page_diff, run_index, topk
 from censusloom.llm.common import table
 from censusloom.llm.registry import QUERIES, SQL, query
 
@@ -75,3 +75,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_audit_repair")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query("op11_page_diff")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.main_texts(table(spark, sf_dir, "pages"))
