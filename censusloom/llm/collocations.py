@@ -29,11 +29,11 @@ from censusloom.llm.common import map_batches, remembered, ship, stored
 
 MAX_WORDS = 2_000_000
 MAX_BYTES = 64 << 20
-RANGE_WORDS = 2_000_000
-_SLICE = 1 << 20
-_COUNTED = 300_000  # distinct words a task holds before it hands them on
-_BUFFERED = 1 << 21  # n-grams a task holds before it sorts them
-_HELD = 1 << 22  # counters a task holds before it hands them on
+RANGE_WORDS = 1_000_000
+_SLICE = 1 << 19
+_COUNTED = 150_000  # distinct words a task holds before it hands them on
+_BUFFERED = 1 << 18  # n-grams of one language and length a task holds before it sorts them
+_HELD = 1 << 20  # counters a task holds before it hands them on
 _MARK = 255  # a counter from here on is stored outside its byte
 
 # Characters that end a piece.
@@ -170,7 +170,7 @@ def _count_words(batches: Iterator[dict]) -> Iterator[dict]:
             counts = held.setdefault(lang, Counter())
             for words in word_slices(text.as_py()):
                 counts.update(words)
-            if len(counts) > _COUNTED:
+            if sum(map(len, held.values())) > _COUNTED:
                 yield from out()
     yield from out()
 
@@ -198,7 +198,7 @@ class _Shard:
             packed = (packed << np.uint64(self.width)) | part[real]
         self.raw.append(packed)
         self.waiting += len(packed)
-        if self.waiting > _BUFFERED:
+        if self.waiting > max(_BUFFERED, len(self.keys) // 2):
             self.settle()
 
     def settle(self) -> None:
