@@ -11,10 +11,12 @@ from censusloom.modeling.evaluation import (
 )
 from censusloom.modeling.importance import permutation_importance
 from censusloom.modeling.selection import cross_validate, fit_final, with_folds
+from censusloom.modeling.spec import RIDGE_GRID
 from censusloom.modeling.training import split
 from censusloom.plans.facts import model_facts
 from workloads.registry import query
 from workloads.tables import table
+from workloads.windows import FOLDS_SQL
 
 _E = "(y - p)"
 _LE = "(ln(1 + greatest(y, 0)) - ln(1 + greatest(p, 0)))"
@@ -166,6 +168,44 @@ def ridge_cv(spark, sf_dir):
     return _candidate_scores(spark, sf_dir, "Ridge")
 
 
+def _ridge_sql(alphas) -> str:
+    """Closed form with two features: each fold's scales, its normal equations, Cramer's rule."""
+    return f"""WITH base AS (SELECT o.*, f.fold, CAST(c_acctbal AS DOUBLE) AS x1, CAST(coalesce(n_lines, 0) AS DOUBLE) AS x2, ln(1 + o_totalprice) AS y
+      FROM orders o JOIN ({FOLDS_SQL}) f USING (o_orderkey) JOIN customer ON c_custkey = o_custkey
+      LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey),
+    s AS (SELECT k.fold AS out, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS d1, stddev_pop(x2) AS d2, avg(y) AS my
+      FROM base b, range(5) k(fold) WHERE b.fold <> k.fold GROUP BY k.fold),
+    e AS (SELECT s.out, sum(((x1 - m1) / d1) ** 2) AS a, sum((x1 - m1) / d1 * (x2 - m2) / d2) AS b, sum(((x2 - m2) / d2) ** 2) AS c,
+        sum((x1 - m1) / d1 * (y - my)) AS p, sum((x2 - m2) / d2 * (y - my)) AS q
+      FROM base, s WHERE base.fold <> s.out GROUP BY s.out),
+    w AS (SELECT out, alpha, (p * (c + alpha) - q * b) / ((a + alpha) * (c + alpha) - b * b) AS w1,
+        (q * (a + alpha) - p * b) / ((a + alpha) * (c + alpha) - b * b) AS w2
+      FROM e, (SELECT unnest({list(alphas)})::DOUBLE AS alpha)),
+    g AS (SELECT fold, alpha, o_totalprice AS y, exp(my + w1 * (x1 - m1) / d1 + w2 * (x2 - m2) / d2) - 1 AS p
+      FROM base JOIN s ON s.out = fold JOIN w ON w.out = fold),
+    m AS (SELECT fold, alpha, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ** 2)) AS rmse,
+        1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, sqrt(avg({_LE} ** 2)) AS log_rmse,
+        1 - sum({_LE} ** 2) / (var_pop(ln(1 + y)) * count(*)) AS log_r2 FROM g GROUP BY fold, alpha)
+    SELECT '{{"alpha": ' || alpha || '}}' AS params, round(avg(log_rmse), 6) AS mean_log_rmse, round(stddev_pop(log_rmse), 6) AS std_log_rmse,
+      round(avg(log_r2), 6) AS mean_log_r2, round(avg(mae), 4) AS mean_mae, round(avg(rmse), 4) AS mean_rmse, round(avg(r2), 6) AS mean_r2
+    FROM m GROUP BY alpha"""
+
+
+@query("ridge_grid", _ridge_sql(RIDGE_GRID["alpha"]))
+def ridge_grid(spark, sf_dir):
+    """The whole ridge grid on all folds, from one pass of sums."""
+    spec = order_spec(
+        numeric=["c_acctbal", "line_count"], nominal=[], multiselect=[], tuned="Ridge", grid=RIDGE_GRID, tuning_draws=6
+    )
+    orders = orders_to_model(spark, sf_dir).select("o_orderkey", "o_totalprice", "c_acctbal", "line_count").na.fill(0, ["line_count"])
+    draws = {f"draw {i}": ("Tuned Ridge", True, "Ridge", draw) for i, draw in enumerate(spec.draws())}
+    table_of_draws = tuning_summary(cross_validate(with_folds(orders, spec), spec, draws)).drop("rank")
+    places = {"mean_mae": 4, "mean_rmse": 4}
+    return table_of_draws.select(
+        "params", *[F.round(c, places.get(c, 6)).alias(c) for c in table_of_draws.columns if c != "params"]
+    )
+
+
 @query("forest_cv")
 def forest_cv(spark, sf_dir):
     return _candidate_scores(spark, sf_dir, "RandomForest")

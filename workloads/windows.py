@@ -55,7 +55,7 @@ def target_bins_query(spark, sf_dir):
     return target_bins(orders, "o_totalprice", "o_orderkey")[0].drop("o_totalprice")
 
 
-_FOLDS = f"""{_BINNED} SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY target_bin
+FOLDS_SQL = f"""{_BINNED} SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY target_bin
   ORDER BY md5('42:' || o_orderkey), o_orderkey) - 1) % 5 AS INTEGER) AS fold FROM b"""
 
 
@@ -64,12 +64,12 @@ def _folds(spark, sf_dir, **settings):
     return stratified_folds(orders, "o_totalprice", "o_orderkey", **settings).drop("o_totalprice")
 
 
-@query("stratified_folds", _FOLDS)
+@query("stratified_folds", FOLDS_SQL)
 def stratified_folds_query(spark, sf_dir):
     return _folds(spark, sf_dir)
 
 
-@query("stratified_folds_bucketed", _FOLDS)
+@query("stratified_folds_bucketed", FOLDS_SQL)
 def stratified_folds_bucketed(spark, sf_dir):
     """The plan used beyond what one task can order, forced by a small bucket size."""
     return _folds(spark, sf_dir, rows_per_bucket=500)
