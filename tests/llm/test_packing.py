@@ -45,13 +45,16 @@ def check_pieces(pieces, expected):
         assert at <= 2048 and at & (at - 1) == 0  # a power of two: nothing is padded
 
 
-def test_chunks_equal_whole_texts(tokenizer):
-    ids_of = packing._ChunkIds(packing.default_tokenizer(), limit=50)
+def test_ids_by_ranks_equal_the_library(tokenizer):
+    ids_of = packing.TokenIds(packing.default_tokenizer(), special_tokens=False)
+    assert ids_of.ranked is not None
     draw = random.Random(2)
     parts = ["word", " ", "  ", "\n", "é", "中", "'s", "1", ".", "\t", "ing", "\x85", "\xa0", "<|endoftext|>"]
     texts = ["".join(draw.choices(parts, k=draw.randint(0, 25))) for _ in range(2_000)]
     expected = [b"".join(i.to_bytes(4, "little") for i in reference_ids(tokenizer, t)[:-1]) for t in texts]
-    assert list(ids_of(texts)) == expected
+    assert [ids_of(t) for t in texts] == expected
+    ids_of.ranked = None  # the library itself
+    assert [ids_of(t) for t in texts] == expected
 
 
 @pytest.mark.parametrize("seed", range(8))
@@ -108,11 +111,31 @@ def test_special_tokens_in_texts_are_the_library_s(spark):
     draw = random.Random(5)
     parts = ["word", " ", " ", "  ", "\n", "é", "1", ".", "<|endoftext|>", "<|endoftext|>", " <|endoftext|> "]
     texts = ["a b<|endoftext|> c", *("".join(draw.choices(parts, k=draw.randint(0, 20))) for _ in range(600))]
-    for limit in (50, 100_000):
-        found = list(packing._ChunkIds(packing.default_tokenizer(), limit, special_tokens=True)(texts))
-        assert found == [b"".join(i.to_bytes(4, "little") for i in reference_ids(library, t)[:-1]) for t in texts]
+    ids_of = packing.TokenIds(packing.default_tokenizer())
+    for ranked in (ids_of.ranked, None):
+        ids_of.ranked = ranked
+        assert [ids_of(t) for t in texts] == [b"".join(i.to_bytes(4, "little") for i in reference_ids(library, t)[:-1]) for t in texts]
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
     pieces = packing.pack(documents(spark, rows)).selectExpr(
         "doc_id", "start", "length", "crc32(ids)", "doc_tokens", "sequence_id", "offset"
     )
     check_pieces([tuple(r) for r in pieces.collect()], {r[0]: reference_ids(library, r[1]) for r in rows})
+
+
+def test_long_texts_without_spaces_take_linear_time():
+    ids_of = packing.TokenIds(packing.default_tokenizer())
+    for text in ("a" * 300_000, " " * 300_000, "\n" * 300_000, "\u4e2d" * 100_000, "abc" * 100_000):
+        library = ids_of.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids_of(text) == b"".join(i.to_bytes(4, "little") for i in library)
+
+
+def test_other_kinds_of_files_are_left_to_the_library(tokenizer):
+    import json
+
+    settings = json.loads(tokenizer.to_str())
+    assert packing._ranked(settings)[0] is not None
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        assert packing._ranked(settings | change) == (None, None)
+    swapped = json.loads(tokenizer.to_str())
+    swapped["model"]["merges"][:2] = swapped["model"]["merges"][1::-1]
+    assert packing._ranked(swapped) == (None, None)
