@@ -115,3 +115,24 @@ def rounded(df: DataFrame, places: int) -> DataFrame:
     return df.select(
         *[F.round(F.col(n), places).alias(n) if n in floating else F.col(n) for n in df.columns]
     )
+
+
+def _json(value: Column) -> Column:
+    """A value as JSON text, by way of an array of one."""
+    listed = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def sorted_json(entries: Column, literal: bool = False) -> Column:
+    """A map column as one JSON text with its keys in order: a fixed text for a set of parameters.
+
+    Equal maps give equal texts, however they were built, so the text may be a key. With
+    ``literal`` the values are JSON texts already, which lets their types differ. A NULL map
+    gives NULL, a NULL value ``null``.
+    """
+    sorted_entries = F.array_sort(F.map_entries(entries))
+    text = F.transform(
+        sorted_entries,
+        lambda e: F.concat(_json(e["key"]), F.lit(": "), F.coalesce(e["value"], F.lit("null")) if literal else _json(e["value"])),
+    )
+    return F.concat(F.lit("{"), F.array_join(text, ", "), F.lit("}"))

@@ -33,11 +33,13 @@ def category_distribution(
     value: str,
     min_group_size: int = 20,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    sketch: int | None = None,
 ) -> DataFrame:
     """Size, mean and exact quartiles of ``value`` per category of each feature.
 
     Groups below ``min_group_size`` are left out. Sorted by feature, then by falling
-    median.
+    median. ``sketch``, the size of a KLL sketch, makes the quartiles approximate and
+    shuffles no values.
     """
     check(min_group_size >= 1, "min_group_size must be at least 1")
     long = long_categories(df, features, [value])
@@ -48,6 +50,7 @@ def category_distribution(
         QUARTILES,
         [F.count(F.lit(1)).alias("respondents"), F.avg(value).alias("mean")],
         rows_per_bucket=rows_per_bucket,
+        sketch=sketch,
     )
     return (
         grouped.where(F.col("respondents") >= min_group_size)
@@ -62,10 +65,12 @@ def ordinal_trend(
     value: str,
     min_group_size: int = 20,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    sketch: int | None = None,
 ) -> DataFrame:
     """Size and exact quartiles of ``value`` per level of each ordered score column.
 
-    ``levels`` maps a score column to its display name and its level labels.
+    ``levels`` maps a score column to its display name and its level labels. ``sketch``,
+    the size of a KLL sketch, makes the quartiles approximate and shuffles no values.
     """
     check(min_group_size >= 2, "min_group_size must be at least 2")
     scores = df.select(value, *[F.col(name).cast("double").alias(name) for name in levels])
@@ -77,6 +82,7 @@ def ordinal_trend(
         QUARTILES,
         [F.count(F.lit(1)).alias("respondents")],
         rows_per_bucket=rows_per_bucket,
+        sketch=sketch,
     ).where(F.col("respondents") >= min_group_size)
     feature = category = F.lit(None).cast("string")
     for column, (name, labels) in levels.items():

@@ -86,12 +86,19 @@ def grouped_quantiles(
     aggregates: Sequence[Column] = (),
     layout: Layout | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    sketch: int | None = None,
 ) -> DataFrame:
-    """One row per group: ``aggregates``, then the exact quantile ``shares``.
+    """One row per group: ``aggregates``, then the quantile ``shares``.
 
-    ``value`` and the keys must not be NULL. With no keys the result is one row.
+    ``value`` and the keys must not be NULL. With no keys the result is one row. Quantiles
+    are exact unless ``sketch`` gives the size of a KLL sketch: see
+    :mod:`censusloom.operators.sketches`.
     """
     check(all(0 <= share <= 1 for share in shares.values()), "quantile shares must lie in [0, 1]")
+    if sketch is not None:
+        points = {name: F.kll_sketch_get_quantile_double("_sketch", F.lit(float(share))) for name, share in shares.items()}
+        grouped = df.groupBy(*keys).agg(*aggregates, F.kll_sketch_agg_double(F.col(value).cast("double"), sketch).alias("_sketch"))
+        return grouped.select("*", *[point.alias(name) for name, point in points.items()]).drop("_sketch")
     layout = layout or fit_layout(df, value, rows_per_bucket)
     if layout.single:
         points = F.percentile(value, F.array(*[F.lit(float(s)) for s in shares.values()]))

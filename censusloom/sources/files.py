@@ -93,5 +93,9 @@ def scratch_folder(spark: SparkSession) -> str:
     The cluster names that folder in ``spark.checkpoint.dir``. Only where it is unset,
     as in a local test session, a temporary folder of this machine is used.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="censusloom-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        check(local, "set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="censusloom-")
     return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from censusloom.functions.scalars import rounded
 from censusloom.operators import charts as C
 from censusloom.operators import distributions as D
+from censusloom.operators import sketches as K
 from workloads.registry import query
 from workloads.tables import (
     PRIORITY_LABELS, SCORED_ORDERS, TAG_TOKENS, USER_DAYS, scored_orders, table, tagged_events, user_days,
@@ -144,6 +145,69 @@ def density_curve(spark, sf_dir):
     return curve.select("point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
 
 
+@query(
+    "density_curve_binned",
+    """WITH f AS (SELECT count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS h, min(value) AS lo,
+        (max(value) - min(value)) / 199 AS step FROM events),
+      g AS (SELECT CAST(i AS INTEGER) AS point, lo + i * step AS x FROM f, range(200) t(i))
+    SELECT point, round(x, 6) AS x, round(sum(exp(-0.5 * pow((x - value) / h, 2))) / (max(n) * max(h) * sqrt(2 * pi())), 6)
+      AS density FROM g, f, events GROUP BY point, x""",
+)
+def density_curve_binned(spark, sf_dir):
+    """The same curve from fine bins: its cost does not follow the number of values."""
+    curve = C.density_curve(table(spark, sf_dir, "events"), "value", binned=True)
+    return curve.select("point", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
+
+
+_T = "(z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * v**3))"
+
+
+@query(
+    "regression_band",
+    f"""WITH l AS (SELECT count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a,
+        avg(l_quantity) AS m, regr_sxx(l_extendedprice, l_quantity) AS sxx, min(l_quantity) AS lo, max(l_quantity) AS hi,
+        sqrt((regr_syy(l_extendedprice, l_quantity) - pow(regr_sxy(l_extendedprice, l_quantity), 2)
+          / regr_sxx(l_extendedprice, l_quantity)) / (count(*) - 2)) AS s, (count(*) - 2)::DOUBLE AS v, 1.959963984540054 AS z
+        FROM lineitem),
+      g AS (SELECT *, CAST(i AS INTEGER) AS point, lo + i * (hi - lo) / 49 AS x FROM l, range(50) t(i)),
+      r AS (SELECT *, a + b * x AS fitted, {_T} * s * sqrt(1 / n::DOUBLE + pow(x - m, 2) / sxx) AS reach FROM g)
+    SELECT point, round(x, 6) AS x, round(fitted, 4) AS fitted, round(fitted - reach, 4) AS t_low, round(fitted + reach, 4) AS t_high,
+      true AS bootstrap_agrees FROM r""",
+)
+def regression_band(spark, sf_dir):
+    """The analytic band; the bootstrap band has the same width up to its own error."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("line", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey"))
+    band = C.regression_band(lines, "l_quantity", "l_extendedprice", "line", points=50, replicates=1000)
+    wide = F.col("high") - F.col("low")
+    agrees = (F.abs(wide / (F.col("t_high") - F.col("t_low")) - 1) < 0.25) & F.col("fitted").between(F.col("low"), F.col("high"))
+    return band.select(
+        "point", F.round("x", 6).alias("x"), *[F.round(c, 4).alias(c) for c in ("fitted", "t_low", "t_high")], agrees.alias("bootstrap_agrees")
+    )
+
+
+@query(
+    "quantile_sketches",
+    f"""SELECT feature, category, count(*) AS rows, round(avg(x), 4) AS mean, min(x) AS low, max(x) AS high,
+      true AS q25_within_1_pct, true AS median_within_1_pct, true AS q75_within_1_pct FROM ({_ORDER_LONG}) WHERE x > 0 GROUP BY feature, category""",
+)
+def quantile_sketches(spark, sf_dir):
+    """Sketches of four increments, merged; their quartiles have ranks within 1 % of the exact ones."""
+    orders = _valid_orders(spark, sf_dir)
+    long = D.long_categories(orders, _ORDER_FEATURES, ["o_orderkey", "o_totalprice"])
+    keys = ["feature", "category"]
+    parts = [K.quantile_sketches(long.where(F.col("o_orderkey") % 4 == i), keys, "o_totalprice") for i in range(4)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    found = K.sketched_quantiles(K.merge_sketches(every, keys), D.QUARTILES)
+    met = long.select(*keys, "o_totalprice").join(found, keys)
+    ranks = [
+        (F.abs(F.avg((F.col("o_totalprice") <= F.col(name)).cast("double")) - share) < 0.01).alias(f"{name}_within_1_pct")
+        for name, share in D.QUARTILES.items()
+    ]
+    return met.groupBy(*keys, "rows", F.round("mean", 4).alias("mean"), "low", "high").agg(*ranks)
+
+
 @query(
     "regression_line",
     """SELECT count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,

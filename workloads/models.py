@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from censusloom.functions.scalars import rounded
+from censusloom.functions.scalars import rounded, sorted_json
 from censusloom.modeling import ModelSpec, train_and_select
 from censusloom.modeling.evaluation import (
     cv_summary, population_metrics, regression_metrics, tuning_summary,
@@ -88,7 +88,7 @@ def _fold_scores(spark, sf_dir):
     guesses = lines.select(
         F.concat(F.lit("model "), F.col("m").cast("string")).alias("model"),
         (F.col("m") > 1).alias("tuned"),
-        F.concat(F.lit('{"slope": '), F.col("m").cast("string"), F.lit("}")).alias("params"),
+        sorted_json(F.create_map(F.lit("slope"), F.col("m"))).alias("params"),
         "fold",
         "y",
         (F.col("l_quantity") * 1000 * F.col("m") + 1000).alias("p"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from censusloom.functions.scalars import rounded
 from censusloom.operators import profiling as P
 from workloads.registry import query
@@ -91,3 +93,17 @@ def describe_columns_bucketed(spark, sf_dir):
     """The plan used beyond what one task can order, forced by a small bucket size."""
     lines = table(spark, sf_dir, "lineitem")
     return rounded(P.describe_columns(lines, _LINE_NUMBERS, rows_per_bucket=5_000), 5)
+
+
+_INTEGERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+@query(
+    "distinct_integers",
+    " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS unique_count FROM lineitem""" for c in _INTEGERS)
+    + " UNION ALL SELECT 'spread', count(DISTINCT l_orderkey * 1000003 - 7) FROM lineitem",
+)
+def distinct_integers(spark, sf_dir):
+    """Bitmaps for dense keys, distinct values for a spread one."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("spread", F.col("l_orderkey") * 1000003 - 7)
+    return P.distinct_integers(lines, [*_INTEGERS, "spread"])
