@@ -1,7 +1,7 @@
 """Shards along a Hilbert curve over several metadata dimensions.
 
-Each dimension is cut into 2^bits cells at its quantiles, texts by their whole length. The cells of a row give its
-place on a Hilbert curve; neighbours on the curve are neighbours in all dimensions, so a
+Each dimension is cut into at most 2^bits cells at its quantiles, texts by their whole length,
+and fewer cells are spread over the axis. The cells of a row give its place on a Hilbert curve; neighbours on the curve are neighbours in all dimensions, so a
 run of the curve covers a small box and a filter on any dimension skips most shards.
 Rows are ordered along the curve by a range sort whose last keys are the text's crc32
 and the id, so a cell with a third of all rows is still cut over many tasks.
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from censusloom.llm.common import stored
+from censusloom.llm.common import free_name, stored
 
 SHARDS = 24
 BITS = 4
@@ -96,9 +96,14 @@ def curve_cells(df: DataFrame, dimensions: Sequence[str], bits: int = BITS, plac
         cuts |= df.agg(*quantiles).first().asDict()
 
     def cell(dimension: str) -> Column:
-        """Number of distinct cut points below or at the value, so equal values share a cell."""
+        """Distinct cut points below or at the value, spread over all cells of the axis.
+
+        Equal values share a cell. A dimension of few values has few cut points; spread out,
+        they differ in the highest bits, which the curve follows first.
+        """
         points = sorted(set(cuts[dimension] or ()))
-        return sum((F.when(F.col(dimension) >= F.lit(p), 1).otherwise(0) for p in points), F.lit(0))
+        below = sum((F.when(F.col(dimension) >= F.lit(p), 1).otherwise(0) for p in points), F.lit(0))
+        return F.floor(below * F.lit(cells) / F.lit(len(points) + 1)).cast("int")
 
     code = sum((cell(d) * F.lit(cells**i) for i, d in enumerate(dimensions)), F.lit(0))
     total = cells ** len(dimensions)
@@ -126,6 +131,26 @@ def positions(df: DataFrame, order: Sequence[Column], partitions: int, position:
     )
 
 
+def _shard(rows: int, shards: int) -> Column:
+    return F.expr(f"CAST(_position * {shards} DIV {max(rows, 1)} AS INT)")
+
+
+def _slot(rows: int, shards: int, shard: str) -> Column:
+    """The first position of shard s is ceil(s * rows / shards)."""
+    return F.expr(f"_position - ((`{shard}` * CAST({rows} AS BIGINT) + {shards - 1}) DIV {shards})")
+
+
+def _facts(docs: DataFrame, ident: str, text: str, dimensions: Sequence[str]) -> list[Column]:
+    """What places a document: id, size, crc32 of the text, and the text dimensions."""
+    body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    return [
+        F.col(ident).alias("_id"),
+        (F.octet_length(body).cast("bigint") + 8).alias("_size_bytes"),
+        F.crc32(body).alias("_crc"),
+        *[F.col(d).cast("string").alias(f"_d{i}") for i, d in enumerate(dimensions)],
+    ]
+
+
 def shard_documents(
     docs: DataFrame,
     ident: str = "doc_id",
@@ -142,35 +167,48 @@ def shard_documents(
     Null dimension values come first. Repeated or null ids are separate rows. An empty
     table gives no rows; fewer rows than shards leave shards empty.
     """
-    body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    slim = stored(
-        docs.select(
-            F.col(ident).alias("_id"),
-            (F.octet_length(body).cast("bigint") + 8).alias("_size_bytes"),
-            F.crc32(body).alias("_crc"),
-            *[F.col(d).cast("string").alias(f"_d{i}") for i, d in enumerate(dimensions)],
-        ),
-        "slim",
-    )
+    slim = stored(docs.select(*_facts(docs, ident, text, dimensions)), "slim")
     axes = [f"_d{i}" for i in range(len(dimensions))] + ["_size_bytes"]
     placed = curve_cells(slim, axes, bits, "place")
     rows = slim.count()
     order = [F.col("place"), F.col("_crc"), F.col("_id")]
     numbered = positions(placed, order, max(1, -(-rows // rows_per_partition)), "_position")
-    shard = F.expr(f"CAST(_position * {shards} DIV {max(rows, 1)} AS INT)")
-    return numbered.withColumn("shard", shard).select(
+    return numbered.withColumn("shard", _shard(rows, shards)).select(
         F.col("_id").alias(ident),
         F.col("_size_bytes").alias("size"),
         F.col("_crc").alias("text_crc32"),
         "place",
         "shard",
-        # The first position of shard s is ceil(s * rows / shards).
-        F.expr(f"_position - ((shard * CAST({rows} AS BIGINT) + {shards - 1}) DIV {shards})").alias("slot"),
+        _slot(rows, shards, "shard").alias("slot"),
     )
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, ident: str = "doc_id") -> None:
-    """Write the documents as one folder per shard, in slot order; ids must be unique."""
-    chosen = assigned.select(F.col(ident).alias("_id"), "shard", "slot")
-    joined = docs.join(chosen, docs[ident] == chosen["_id"]).drop("_id")
-    joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(
+    docs: DataFrame,
+    path: str,
+    ident: str = "doc_id",
+    text: str = "text",
+    dimensions: Sequence[str] = ("lang", "source"),
+    shards: int = SHARDS,
+    bits: int = BITS,
+    bytes_per_file: int = 256 << 20,
+) -> str:
+    """Write all columns of ``docs`` as one folder per shard; the name of the shard column.
+
+    Whole rows are sorted along the curve by one range shuffle, cut so that a task and a file
+    have some ``bytes_per_file`` bytes of text; files of a shard follow each other in slot
+    order, in the column ``slot``, so file statistics prune by every dimension. Nothing is
+    joined by id: rows with null or repeated ids are written as often as they occur. Columns
+    called ``shard`` or ``slot`` keep their names, and the new ones get underscores. An empty
+    table writes an empty folder.
+    """
+    shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row_"), *_facts(docs, ident, text, dimensions))
+    axes = [f"_d{i}" for i in range(len(dimensions))] + ["_size_bytes"]
+    rows, size = held.agg(F.count("*"), F.coalesce(F.sum("_size_bytes"), F.lit(0))).first()
+    placed = curve_cells(held, axes, bits, "place")
+    order = [F.col("place"), F.col("_crc"), F.col("_id")]
+    numbered = positions(placed, order, max(1, -(-size // bytes_per_file)), "_position").withColumn(shard, _shard(rows, shards))
+    out = numbered.select("_row_.*", shard, _slot(rows, shards, shard).alias(slot))
+    out.write.partitionBy(shard).parquet(path)
+    return shard

@@ -1,9 +1,13 @@
 import itertools
 import zlib
+from collections import Counter
 
+import duckdb
 import pytest
 from helpers import SF, clashing, documents, odd_rows, parquet_rows
 
+from pyspark.sql import functions as F
+
 from censusloom.llm import hilbert
 from censusloom.llm.queries import QUERIES
 
@@ -59,11 +63,67 @@ def test_one_cell_with_all_rows(spark):
     check_shards(rows, ["same text"] * 500)
 
 
+def by_hand(rows, shards=24):
+    """(id, shard, slot) from scratch; the curve itself is tested above."""
+    n = len(rows)
+
+    def cells(values, cuts):
+        points = sorted(set(cuts))
+        return [sum(v is not None and v >= p for p in points) * 16 // (len(points) + 1) for v in values]
+
+    axes = []
+    for column in (2, 3):
+        values = [r[column] for r in rows]
+        ordered = sorted(values, key=lambda v: (v is not None, (v or "").encode()))
+        axes.append(cells(values, {ordered[-(-k * n // 16) - 1] for k in range(1, 16)} - {None}))
+    sizes = [len((r[1] or "").encode()) + 8 for r in rows]
+    ordered = sorted(sizes)
+    axes.append(cells(sizes, {ordered[max(0, -(-k * n // 16) - 1)] for k in range(1, 16)}))
+    crcs = [zlib.crc32((r[1] or "").encode()) for r in rows]
+    keys = [(hilbert.hilbert_index(c, 4), crc, (r[0] is not None, r[0])) for c, crc, r in zip(zip(*axes), crcs, rows, strict=True)]
+    found, first = [], {}
+    for position, i in enumerate(sorted(range(n), key=lambda i: keys[i][:2] + (keys[i][2][0], keys[i][2][1] or 0))):
+        shard = position * shards // n
+        found.append((rows[i][0], shard, position - first.setdefault(shard, position)))
+    return sorted(found, key=repr)
+
+
+def test_shards_and_slots_from_scratch(spark):
+    given = parquet_rows("documents", "doc_id, text, lang, source, n_chars")
+    found = QUERIES["op9_hilbert_shards"](spark, SF)
+    assert sorted(((r.doc_id, r.shard, r.slot) for r in found.collect()), key=repr) == by_hand(given)
+    odd = hilbert.shard_documents(documents(spark, odd_rows()))
+    assert sorted(((r.doc_id, r.shard, r.slot) for r in odd.collect()), key=repr) == by_hand(odd_rows())
+
+
 def test_files(spark, tmp_path):
     docs = documents(spark, [(i, f"text {i}", "en", f"s{i % 3}", 6) for i in range(60)])
-    hilbert.write_shards(docs, hilbert.shard_documents(docs, shards=4), str(tmp_path / "out"))
+    assert hilbert.write_shards(docs, str(tmp_path / "out"), shards=4, bytes_per_file=200) == "shard"
+    back = spark.read.parquet(str(tmp_path / "out")).withColumn("file", F.input_file_name())
+    rows = {r.doc_id: (r.shard, r.slot) for r in back.collect()}
+    assigned = hilbert.shard_documents(docs, shards=4)
+    assert rows == {r.doc_id: (r.shard, r.slot) for r in assigned.collect()} and len(rows) == 60
+    sizes = back.groupBy("file").agg(F.sum(F.length("text") + 8).alias("n"), F.max("slot") - F.min("slot") + 1 - F.count("*")).collect()
+    assert len(sizes) >= 4 and max(r.n for r in sizes) < 500 and {r[2] for r in sizes} == {0}
+
+
+def test_files_keep_odd_rows_and_clashing_columns(spark, tmp_path):
+    docs = clashing(documents(spark, odd_rows())).selectExpr("*", "'x' AS slot")
+    assert hilbert.write_shards(docs, str(tmp_path / "out")) == "shard_"
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 60 and back.select("shard").distinct().count() == 4
+    assert back.count() == len(odd_rows()) and {"shard", "slot", "shard_", "slot_"} <= set(back.columns)
+    assert back.where("doc_id IS NULL").count() == 2 and {r.slot for r in back.collect()} == {"x"}
+    hilbert.write_shards(docs.limit(0), str(tmp_path / "none"))
+
+
+def test_each_value_meets_few_shards(spark):
+    """A language meets fewer of the 24 shards the rarer it is, although one has 60 % of the rows."""
+    facts = {i: lang for i, lang in duckdb.sql("SELECT doc_id, lang FROM '/root/testdata/sf0.1/documents.parquet'").fetchall()}
+    met, share = {}, Counter(facts.values())
+    for r in QUERIES["op9_hilbert_shards"](spark, "/root/testdata/sf0.1").collect():
+        met.setdefault(facts[r.doc_id], set()).add(r.shard)
+    for lang, shards in met.items():
+        assert len(shards) <= 24 * share[lang] / len(facts) + 6, (lang, len(shards))
 
 
 def test_long_common_prefixes_are_told_apart(spark):
