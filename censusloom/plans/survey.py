@@ -22,7 +22,7 @@ from censusloom.operators.layout import ROWS_PER_BUCKET, fit_layout
 from censusloom.plans import facts
 from censusloom.plans import survey_schema as schema
 from censusloom.sources.contracts import require_columns, require_domain, require_population, require_rows
-from censusloom.sources.files import write_table
+from censusloom.sources.files import scratch_folder, write_table
 
 
 RESULT_TABLES = (
@@ -116,10 +116,19 @@ def correlation_matrix(cleaned: DataFrame) -> DataFrame:
     return associations.pearson_matrix(masked, schema.MATRIX_COLUMNS, schema.MATRIX_LABELS)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared scratch folder and read back."""
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 class SurveyAnalysis:
     """All descriptive and inferential tables of the survey, each built when asked for.
 
-    ``derived`` feeds every table; persist it before writing many of them.
+    ``derived`` feeds every table. ``settle`` writes it and the cleaned table once to the
+    folder all executors share, so that no result table derives, deduplicates and trims
+    again; without it, persist ``derived`` before writing many of them.
     """
 
     def __init__(
@@ -128,11 +137,14 @@ class SurveyAnalysis:
         derived: DataFrame,
         min_group_size: int = 20,
         rows_per_bucket: int = ROWS_PER_BUCKET,
+        settle: bool = False,
     ):
         self.raw = raw
         self.min_group_size = min_group_size
         self.rows_per_bucket = rows_per_bucket
-        self.table, self.data_quality = clean(raw, derived, rows_per_bucket)
+        self.table, self.data_quality = clean(raw, settled(derived) if settle else derived, rows_per_bucket)
+        if settle:
+            self.table = settled(self.table)
 
     @cached_property
     def raw_dataset_overview(self) -> DataFrame:

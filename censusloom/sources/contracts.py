@@ -29,6 +29,23 @@ def require_population(rows: int, minimum: int, what: str) -> None:
     check(rows >= minimum, f"{what} needs at least {minimum} rows, got {rows}")
 
 
+def contract_report(df: DataFrame, required: Sequence[str], target: str | None = None, minimum: int = 0) -> DataFrame:
+    """What the three checks above look at, as rows: (check, detail, found, passed).
+
+    One row per required column, one for the rows, and one for the rows with a valid (known
+    and positive) ``target``, of which ``minimum`` are needed. One pass over the data; an
+    absent target column has no valid rows.
+    """
+    present = set(df.columns)
+    valid = F.count_if(number(df, target) > 0) if target in present else F.lit(0).cast("long")
+    sizes = df.agg(F.count(F.lit(1)).alias("rows"), valid.alias("valid")).first()
+    table = [("required_column", name, int(name in present), name in present) for name in sorted(set(required))]
+    table.append(("rows", None, sizes["rows"], sizes["rows"] > 0))
+    if target is not None:
+        table.append(("population", target, sizes["valid"], sizes["valid"] >= minimum))
+    return df.sparkSession.createDataFrame(table, "check string, detail string, found bigint, passed boolean")
+
+
 def domain_violations(df: DataFrame, allowed: Mapping[str, Sequence[str]]) -> DataFrame:
     """Distinct (column, label) pairs outside the allowed labels, in one pass.
 

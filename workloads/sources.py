@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from censusloom.sources.contracts import domain_violations, fingerprint, missing_cells, reconcile
+from censusloom.sources.contracts import contract_report, domain_violations, fingerprint, missing_cells, reconcile
 from censusloom.sources.files import (
     STRICT_NULL_TEXTS, apply_types, first_rows, scan_csv, scratch_folder, write_table,
 )
@@ -277,3 +277,15 @@ def csv_dedup_first(spark, sf_dir):
     """The first row of each key in file order, without an order column."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     return first_per_key_in_files(_ordered_files(spark, events, "event_id"), ["user_id"])
+
+
+@query(
+    "contract_report",
+    f"""SELECT 'required_column' AS "check", name AS detail, (name <> 'absent')::BIGINT AS found, name <> 'absent' AS passed
+      FROM (SELECT unnest(['absent', 'event_id', 'value']) AS name)
+    UNION ALL SELECT 'rows', NULL, count(*), count(*) > 0 FROM {ANSWERS}
+    UNION ALL SELECT 'population', 'value', count(*) FILTER (value > 0), count(*) FILTER (value > 0) >= 1000000000 FROM {ANSWERS}""",
+)
+def contract_report_query(spark, sf_dir):
+    """Columns, rows and population of a table, as rows instead of errors."""
+    return contract_report(answers(spark, sf_dir), ["event_id", "value", "absent"], "value", 10**9)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from censusloom.functions.scalars import rounded
 from censusloom.plans import survey as plan
 from censusloom.plans import survey_schema as schema
+from workloads.associations import _round, _t_tail
 from workloads.registry import query
 from workloads.tables import table
 
@@ -76,7 +77,7 @@ def _tables(spark, sf_dir):
     raw = survey_answers(spark, sf_dir)
     plan.check_input(raw)
     derived = plan.derive(raw, ["ConvertedCompYearly"])
-    return plan.SurveyAnalysis(raw, derived)
+    return plan.SurveyAnalysis(raw, derived, settle=True)
 
 
 _NUM = """CASE WHEN k % 17 = 0 THEN NULL WHEN k % 53 = 0 THEN 0.5 WHEN k % 53 > 50 THEN 51.0
@@ -184,13 +185,62 @@ def survey_matrix(spark, sf_dir):
     )
 
 
-@query("survey_spearman")
+_TESTS = """pv < 0.05 AS significant_at_0_05, round(least(pv * count(*) OVER (), 1), 5) AS p_value_bonferroni,
+      pv * count(*) OVER () < 0.05 AS significant_bonferroni_0_05"""
+
+
+@query(
+    "survey_spearman",
+    f"""WITH {_CLEANED}, o AS (SELECT k, lg, (SELECT o_custkey FROM orders WHERE o_orderkey = k) AS c FROM s),
+    l AS (SELECT 'Age_order' AS score_column, 'Age' AS feature, c % 8 AS x, lg AS y FROM o WHERE c % 8 < 7
+      UNION ALL SELECT 'EdLevel_order', 'Education level', k % 8, lg FROM o WHERE k % 8 < 7
+      UNION ALL SELECT 'OrgSize_order', 'Organization size', k % 10, lg FROM o WHERE k % 10 < 9),
+    r AS (SELECT feature, score_column, rank() OVER (PARTITION BY score_column ORDER BY x)
+        + (count(*) OVER (PARTITION BY score_column, x) - 1) / 2::DOUBLE AS rx,
+      rank() OVER (PARTITION BY score_column ORDER BY y)
+        + (count(*) OVER (PARTITION BY score_column, y) - 1) / 2::DOUBLE AS ry FROM l),
+    c AS (SELECT feature, score_column, count(*) AS valid_rows, corr(rx, ry) AS rho FROM r GROUP BY ALL),
+    t AS (SELECT *, rho * sqrt((valid_rows - 2) / (1 - rho * rho)) AS t, (valid_rows - 2)::DOUBLE AS d FROM c),
+    p AS (SELECT *, {_t_tail("t", "d")} AS pv FROM t)
+    SELECT feature, score_column, valid_rows, round(rho, 9) AS spearman_rho, round(pv, 6) AS p_value, {_TESTS} FROM p""",
+)
 def survey_spearman(spark, sf_dir):
-    return _tables(spark, sf_dir).ordinal_income_spearman
+    tests = _tables(spark, sf_dir).ordinal_income_spearman
+    return _round(tests, {"spearman_rho": 9, "p_value": 6, "p_value_bonferroni": 5})
 
 
-@query("survey_employment")
+@query(
+    "survey_employment",
+    f"""WITH {_CLEANED}, x AS (SELECT option, CASE WHEN option = 'Student, part-time' THEN k % 4 = 0
+        ELSE (SELECT o_custkey FROM orders WHERE o_orderkey = k) % 5 = 0 END AS has, pay, lg
+      FROM s, (SELECT unnest(['Student, part-time', 'Independent contractor, freelancer, or self-employed']) AS option)),
+    e AS (SELECT option, count(*) FILTER (has) AS selected_rows, count(*) FILTER (NOT has) AS unselected_rows,
+      quantile_cont(pay, 0.5) FILTER (has) AS sm, quantile_cont(pay, 0.5) FILTER (NOT has) AS um, corr(has::INT, lg) AS r
+      FROM x GROUP BY option HAVING count(*) FILTER (has) >= 20 AND count(*) FILTER (NOT has) >= 20),
+    t AS (SELECT *, r * sqrt((selected_rows + unselected_rows - 2) / (1 - r * r)) AS t, (selected_rows + unselected_rows - 2)::DOUBLE AS d FROM e),
+    p AS (SELECT *, {_t_tail("t", "d")} AS pv FROM t)
+    SELECT option, selected_rows, unselected_rows, round(sm, 4) AS selected_median, round(um, 4) AS unselected_median,
+      round(r, 8) AS point_biserial_r, round(abs(r), 8) AS absolute_r, round(pv, 6) AS p_value, {_TESTS} FROM p""",
+)
 def survey_employment(spark, sf_dir):
-    return _tables(spark, sf_dir).employment_income_effects
+    tests = _tables(spark, sf_dir).employment_income_effects
+    places = {"selected_median": 4, "unselected_median": 4, "point_biserial_r": 8, "absolute_r": 8, "p_value": 6, "p_value_bonferroni": 5}
+    return _round(tests, places)
 
 
+@query(
+    "survey_cleaned_rows",
+    f"""WITH {_CLEANED} SELECT count(*) AS rows, 39 AS columns, round(sum(pay), 0) AS total, round(sum(lg), 3) AS log_total,
+      count(DISTINCT k) AS keys, count(n_name) AS countries FROM s""",
+)
+def survey_cleaned_rows(spark, sf_dir):
+    """The cleaned table in its fixed projection."""
+    rows = _tables(spark, sf_dir).cleaned_salary_data
+    return rows.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.lit(len(rows.columns)).alias("columns"),
+        F.round(F.sum(schema.TARGET), 0).alias("total"),
+        F.round(F.sum(schema.LOG_TARGET), 3).alias("log_total"),
+        F.count_distinct(schema.KEY).alias("keys"),
+        F.count("Country").alias("countries"),
+    )
