@@ -226,6 +226,39 @@ def importance(spark, sf_dir):
     return permutation_importance(model, test, spec)
 
 
+def _importance_sql(alpha: float = 1.0, repeats: int = 2) -> str:
+    """Ridge on two features in closed form, and every shuffled column's drop in log R2."""
+    moments = "avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS d1, stddev_pop(x2) AS d2, avg(y) AS my"
+    return f"""WITH base AS (SELECT o_orderkey AS k, CAST(c_acctbal AS DOUBLE) AS x1, CAST(coalesce(n_lines, 0) AS DOUBLE) AS x2,
+        ln(1 + o_totalprice) AS y, ('0x' || substr(md5('42:' || o_orderkey), 1, 8))::BIGINT % 100 < 80 AS training
+      FROM orders JOIN customer ON c_custkey = o_custkey
+      LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey),
+    s AS (SELECT {moments} FROM base WHERE training),
+    e AS (SELECT sum(((x1 - m1) / d1) ** 2) + {alpha} AS a, sum((x1 - m1) / d1 * (x2 - m2) / d2) AS b, sum(((x2 - m2) / d2) ** 2) + {alpha} AS c,
+        sum((x1 - m1) / d1 * (y - my)) AS p, sum((x2 - m2) / d2 * (y - my)) AS q FROM base, s WHERE training),
+    w AS (SELECT (p * c - q * b) / (a * c - b * b) AS w1, (q * a - p * b) / (a * c - b * b) AS w2 FROM e),
+    t AS (SELECT k, y, w1 * (x1 - m1) / d1 AS c1, w2 * (x2 - m2) / d2 AS c2, my FROM base, s, w WHERE NOT training),
+    r AS (SELECT rep, row_number() OVER (PARTITION BY rep ORDER BY md5('42/rows:' || k), k) AS place, y, my, c1, c2 FROM t, range({repeats}) u(rep)),
+    g AS (SELECT rep, row_number() OVER (PARTITION BY rep ORDER BY md5('42/donors/' || rep || ':' || k), k) AS place, c1 AS g1, c2 AS g2
+      FROM t, range({repeats}) u(rep)),
+    v AS (SELECT 'c_acctbal' AS feature, rep, y, my + g1 + c2 AS p FROM r JOIN g USING (rep, place)
+      UNION ALL SELECT 'line_count', rep, y, my + c1 + g2 FROM r JOIN g USING (rep, place)),
+    f AS (SELECT feature, rep, 1 - sum((y - greatest(p, 0)) ** 2) / (var_pop(y) * count(*)) AS r2 FROM v GROUP BY feature, rep),
+    i AS (SELECT 1 - sum((y - greatest(my + c1 + c2, 0)) ** 2) / (var_pop(y) * count(*)) AS whole FROM t)
+    SELECT feature, round(avg(whole - r2), 7) AS importance_mean, round(stddev_pop(whole - r2), 7) AS importance_std,
+      'decrease_in_log_r2' AS metric FROM f, i GROUP BY feature"""
+
+
+@query("importance_ridge", _importance_sql())
+def importance_ridge(spark, sf_dir):
+    """Permutation importance of a ridge on two columns, in closed form in SQL."""
+    spec = order_spec(numeric=["c_acctbal", "line_count"], nominal=[], multiselect=[], importance_rows=None, importance_repeats=2)
+    orders = orders_to_model(spark, sf_dir).select("o_orderkey", "o_totalprice", "c_acctbal", "line_count").na.fill(0, ["line_count"])
+    train, test = split(orders, spec)
+    found = permutation_importance(fit_final(train, spec, "Ridge", spec.ridge), test, spec)
+    return found.select("feature", *[F.round(c, 7).alias(c) for c in ("importance_mean", "importance_std")], "metric")
+
+
 @query(
     "model_facts",
     f"""{_FOLD_SCORES}, s AS (SELECT model, avg(mae) AS mae, avg(log_rmse) AS lr FROM f GROUP BY model),
