@@ -3,6 +3,7 @@ import string
 from collections import Counter
 
 import numpy as np
+import pytest
 from helpers import SF, clashing, documents, odd_rows, parquet_rows
 
 from censusloom.llm import kneser_ney as kn
@@ -162,3 +163,29 @@ def test_repeated_rows_and_ids_take_one_place(spark, monkeypatch):
     sampled = Counter(r.lang for r in counted[0])
     assert sampled == {"en": 16, "de": 16}
     assert len({r.text for r in counted[0] if r.lang == "en"}) == 16
+
+
+def test_a_hundred_languages(spark, monkeypatch):
+    """Languages of different letters: all are told apart, and a limit on the models' size holds."""
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 1200)]
+    rows = []
+    for lang in range(100):
+        for i in range(6):
+            draw = random.Random(lang * 100 + i)
+            text = " ".join("".join(draw.choices(letters[lang * 12 : lang * 12 + 12], k=4)) for _ in range(40))
+            rows.append((lang * 6 + i, text, f"l{lang:02d}", "s", 1))
+    found = kn.predict_languages(documents(spark, rows)).collect()
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in found) >= 0.97 * len(rows)
+    monkeypatch.setattr(kn, "MAX_MODEL_MB", 0.1)
+    with pytest.raises(ValueError, match="documents_per_language"):
+        kn.train(documents(spark, rows))
+
+
+def test_texts_are_scored_once(spark, monkeypatch):
+    scored = []
+    plain = kn._scored
+    monkeypatch.setattr(kn, "_scored", lambda *args: scored.append(args[3]) or plain(*args))
+    rows = [(i, t, lang, "s", 1) for i, t, lang in parquet_rows("documents", "doc_id, text, lang")]
+    docs = documents(spark, rows)
+    assert kn.predict_languages(docs).count() == len(rows) and len(scored) == 1
+    assert kn.in_known_languages(docs).count() == len(rows) and len(scored) == 2
