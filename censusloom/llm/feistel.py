@@ -159,12 +159,25 @@ def _address(feistel: Feistel, text: str, undo: bool) -> str | None:
     return ".".join(reversed(out))
 
 
+# The assigned country codes of one and of two digits; all others have three.
+_SHORT_CODES = frozenset("1 7".split())
+_TWO_DIGIT_CODES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 "
+    "90 91 92 93 94 95 98".split()
+)
+
+
+def _country(digits: str) -> str:
+    """The country code that an international number begins with; no code begins another."""
+    return digits[: 1 if digits[:1] in _SHORT_CODES else 2 if digits[:2] in _TWO_DIGIT_CODES else 3]
+
+
 def _phone(feistel: Feistel, text: str, undo: bool) -> str | None:
     digits = "".join(filter(str.isdigit, text))
     if not 7 <= len(digits) <= 15:
         return None
-    country = re.match(r"\+(\d{1,3})", text)
-    prefix = country[1] if country else ""
+    # By the digits alone, so that all spellings of a number agree.
+    prefix = _country(digits) if text[0] == "+" else ""
     rest = digits[len(prefix) :]
     if len(rest) < 6:
         return None
@@ -222,8 +235,10 @@ def _email(feistel: Feistel, text: str, undo: bool) -> str:
 
 
 def _secret(feistel: Feistel, text: str, undo: bool) -> str:
-    alphabets = [_HEX] * len(text) if len(text) >= 8 and all(c in _HEX for c in text) else _classes(text)
-    return _by_alphabets(feistel, "secret", text, alphabets, undo)
+    if len(text) < 8 or any(c not in _HEX for c in text):
+        return _by_alphabets(feistel, "secret", text, _classes(text), undo)
+    digits = any(c in _DIGITS for c in text)  # kept, as a secret may be known by them
+    return _by_alphabets(feistel, "secret", text, [_HEX] * len(text), undo, lambda s: any(c in _DIGITS for c in s) == digits)
 
 
 def _cloud_key(feistel: Feistel, text: str, undo: bool) -> str:
@@ -248,8 +263,9 @@ KINDS = (
     Kind(
         "secret",
         re.compile(
-            r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*"
-            r"[\"']?([A-Za-z0-9_+/=.~!@#$%^&*-]{5,}[A-Za-z0-9_+/=-])"
+            # After a colon without quotes a plain word is just the next word of a sentence.
+            r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*"
+            r"(?:=\s*[\"']?|:\s*[\"']|:\s*(?=[A-Za-z]*[0-9_+/=~!@#$%^&*]))([A-Za-z0-9_+/=.~!@#$%^&*-]{5,}[A-Za-z0-9_+/=-])"
         ),
         _secret,
         1,
@@ -290,9 +306,13 @@ def find(text: str, feistel: Feistel, undo: bool = False) -> list[tuple[int, int
     if not _HINT.search(text):
         return found
     for kind in KINDS:
+        # Matches and what was found before are both in order: one walk over the two.
+        more, at = [], 0
         for match in kind.pattern.finditer(text):
             start, end = match.span(kind.group)
-            if any(start < e and s < end for s, e, _, _ in found):
+            while at < len(found) and found[at][1] <= start:
+                at += 1
+            if at < len(found) and found[at][0] < end:
                 continue
             value = match[kind.group]
             fresh = kind.replace(feistel, value, undo)
@@ -300,9 +320,10 @@ def find(text: str, feistel: Feistel, undo: bool = False) -> list[tuple[int, int
                 value = value[: value.rindex(" ")]
                 fresh = kind.replace(feistel, value, undo) if value else None
             if fresh is not None:
-                end = start + len(value)
-                found.append((start, end, kind.name, fresh))
-    return sorted(found)
+                more.append((start, start + len(value), kind.name, fresh))
+        if more:
+            found = sorted(found + more)
+    return found
 
 
 def pseudonymise(text: str | None, feistel: Feistel, undo: bool = False) -> tuple[str | None, list[str]]:
