@@ -50,19 +50,66 @@ def test_odd_vectors(spark):
     assert topk.top_k(empty, empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_bound_is_the_maximum(seed):
+    """No vector within the limits and the norm scores more, and one scores as much."""
+    import numpy as np
+
+    draw = np.random.default_rng(seed)
+    size = int(draw.integers(1, 7))
+    weights, limits = draw.uniform(0.1, 2, size), draw.normal(0.3, 1, size)
+    radius = float(draw.uniform(0.2, 3))
+    bound = topk.bound_of(weights, limits, radius)
+    lowest = np.minimum(limits, 0)
+    if np.linalg.norm(lowest) > radius:
+        assert bound == -np.inf
+        return
+    best = -np.inf
+    for scale in np.linspace(0, 50, 20_001):
+        x = np.minimum(limits, scale * weights)
+        if np.linalg.norm(x) <= radius:
+            best = max(best, float(weights @ x))
+    assert best - 1e-9 <= bound <= best + 0.02 * weights.sum()
+    for _ in range(300):
+        x = np.minimum(draw.normal(0, 1, size), limits)
+        if np.linalg.norm(x) <= radius:
+            assert weights @ x <= bound + 1e-9
+
+
 def test_scan_stops_early():
     import numpy as np
 
     draw = np.random.default_rng(1)
     vectors = draw.normal(size=(20_000, 2)).round(3)
     vectors[5] = (50.0, 50.0)
-    reads = []
+    order = np.argsort(vectors, axis=0, kind="stable")
+    radius = float(np.linalg.norm(vectors, axis=1).max())
+    scores, ids, scored = topk.scan(np.array([1.0, 1.0]), -1, vectors, np.arange(20_000), order, 1, radius)
+    assert ids.tolist() == [5] and scored < 100
+    assert topk.scan(np.array([1.0, 1.0]), 5, vectors, np.arange(20_000), order, 1, radius, floor=90.0)[2] < 2_000
 
-    class Counted(np.ndarray):
-        def __matmul__(self, other):
-            reads.append(len(self))
-            return np.asarray(self) @ other
 
-    order = np.argsort(vectors, axis=0, kind="stable")
-    scores, ids = topk.scan(np.array([1.0, 1.0]), -1, vectors.view(Counted), np.arange(20_000), order, 1)
-    assert ids.tolist() == [5] and sum(reads) < 2_000
+def clustered(count, size, clusters, seed=4):
+    import numpy as np
+
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(clusters, size))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    vectors = centres[draw.integers(0, clusters, count)] + draw.normal(0, 0.01, (count, size))
+    return as_floats([(i, v.tolist(), 0) for i, v in enumerate(vectors / np.linalg.norm(vectors, axis=1)[:, None])])
+
+
+def test_few_rows_of_clusters_are_scored(spark):
+    rows = clustered(3_000, 8, 60)
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    queries = vectors.where("vec_id % 100 = 0")
+    assert sorted(tuple(r) for r in topk.top_k(queries, vectors, 5, candidate_block=1_000).collect()) == brute(rows, 5, 100)
+    assert topk.scored_share(queries, vectors, candidate_block=1_000) < 0.3
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = as_floats([(0, [1.0, 0.0], 0), (0, [0.0, 1.0], 0), *((i, [1.0 / i, 0.5], 0) for i in range(1, 60))])
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, SCHEMA))
+    one = topk.top_k(vectors.where("vec_id = 0"), vectors, 5, candidate_block=1_000)
+    many = topk.top_k(vectors.where("vec_id = 0"), vectors, 5, query_block=1, candidate_block=7)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() == 5
