@@ -33,10 +33,17 @@ MIN_WORDS = 10
 REPEAT_SHARE = 20
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = ("|", "»", "•", "›")
+# Phrases of boilerplate in English, German, French and Spanish, in lower case.
 PHRASES = (
     "all rights reserved", "click here", "cookie policy", "copyright (c)", "copyright ©", "enable javascript",
     "licensed under", "privacy policy", "released under the", "sign up for", "skip to content", "subscribe to our",
     "terms of service", "terms of use",
+    "aktivieren sie javascript", "alle rechte vorbehalten", "cookie-richtlinie", "datenschutzerklärung", "klicken sie hier",
+    "lizenziert unter", "melden sie sich an", "newsletter abonnieren", "nutzungsbedingungen", "zum inhalt springen",
+    "abonnez-vous à", "activez javascript", "aller au contenu", "cliquez ici", "conditions d'utilisation", "inscrivez-vous",
+    "mentions légales", "politique de confidentialité", "sous licence", "tous droits réservés",
+    "active javascript", "aviso legal", "bajo la licencia", "condiciones de uso", "haga clic aquí", "política de cookies",
+    "política de privacidad", "saltar al contenido", "suscríbase a", "todos los derechos reservados", "términos de uso",
 )
 ENDS = r"""[.!?…。！？]["'”’»)\]]*$"""
 SHOUT = r"(!!|\?\?)$"

@@ -27,6 +27,14 @@ def test_rules():
     assert not rules.line_fails(good, good.split())
 
 
+def test_boilerplate_in_four_languages():
+    for line in ("Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.", "All rights reserved.",
+                 "Haga clic aquí.", "Cliquez ici pour en savoir plus.", "Bitte KLICKEN SIE HIER.", "Siehe Datenschutzerklärung."):
+        assert rules.line_fails(line, line.split()), line
+    for line in ("Der Herbst war lang.", "Le chat dort ici.", "El aviso llegó tarde.", "He clicked and waited."):
+        assert not rules.line_fails(line, line.split()), line
+
+
 def test_documents_that_lose_too_much():
     good, bad = "One two three four five six seven eight.", "Home | News | Sport | Contact | About | Imprint"
     assert rules.clean(f"Some other words in here, enough of them.\n{good}\n{bad}").kept
