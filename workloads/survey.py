@@ -160,12 +160,6 @@ def survey_headline_facts(spark, sf_dir):
     return rounded(_tables(spark, sf_dir).level_facts, 5)
 
 
-@query("survey_strongest")
-def survey_strongest(spark, sf_dir):
-    """The strongest feature of each test table; the tests have their own SQL checks."""
-    return _tables(spark, sf_dir).strongest_facts
-
-
 @query(
     "survey_matrix",
     """WITH t AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)
@@ -185,13 +179,7 @@ def survey_matrix(spark, sf_dir):
     )
 
 
-_TESTS = """pv < 0.05 AS significant_at_0_05, round(least(pv * count(*) OVER (), 1), 5) AS p_value_bonferroni,
-      pv * count(*) OVER () < 0.05 AS significant_bonferroni_0_05"""
-
-
-@query(
-    "survey_spearman",
-    f"""WITH {_CLEANED}, o AS (SELECT k, lg, (SELECT o_custkey FROM orders WHERE o_orderkey = k) AS c FROM s),
+_RANKED = f"""{_CLEANED}, o AS (SELECT k, lg, (SELECT o_custkey FROM orders WHERE o_orderkey = k) AS c FROM s),
     l AS (SELECT 'Age_order' AS score_column, 'Age' AS feature, c % 8 AS x, lg AS y FROM o WHERE c % 8 < 7
       UNION ALL SELECT 'EdLevel_order', 'Education level', k % 8, lg FROM o WHERE k % 8 < 7
       UNION ALL SELECT 'OrgSize_order', 'Organization size', k % 10, lg FROM o WHERE k % 10 < 9),
@@ -199,7 +187,20 @@ _TESTS = """pv < 0.05 AS significant_at_0_05, round(least(pv * count(*) OVER (),
         + (count(*) OVER (PARTITION BY score_column, x) - 1) / 2::DOUBLE AS rx,
       rank() OVER (PARTITION BY score_column ORDER BY y)
         + (count(*) OVER (PARTITION BY score_column, y) - 1) / 2::DOUBLE AS ry FROM l),
-    c AS (SELECT feature, score_column, count(*) AS valid_rows, corr(rx, ry) AS rho FROM r GROUP BY ALL),
+    c AS (SELECT feature, score_column, count(*) AS valid_rows, corr(rx, ry) AS rho FROM r GROUP BY ALL)"""
+_OPTIONS = f"""{_CLEANED}, x AS (SELECT option, CASE WHEN option = 'Student, part-time' THEN k % 4 = 0
+        ELSE (SELECT o_custkey FROM orders WHERE o_orderkey = k) % 5 = 0 END AS has, pay, lg
+      FROM s, (SELECT unnest(['Student, part-time', 'Independent contractor, freelancer, or self-employed']) AS option)),
+    e AS (SELECT option, count(*) FILTER (has) AS selected_rows, count(*) FILTER (NOT has) AS unselected_rows,
+      quantile_cont(pay, 0.5) FILTER (has) AS sm, quantile_cont(pay, 0.5) FILTER (NOT has) AS um, corr(has::INT, lg) AS r
+      FROM x GROUP BY option HAVING count(*) FILTER (has) >= 20 AND count(*) FILTER (NOT has) >= 20)"""
+_TESTS = """pv < 0.05 AS significant_at_0_05, round(least(pv * count(*) OVER (), 1), 5) AS p_value_bonferroni,
+      pv * count(*) OVER () < 0.05 AS significant_bonferroni_0_05"""
+
+
+@query(
+    "survey_spearman",
+    f"""WITH {_RANKED},
     t AS (SELECT *, rho * sqrt((valid_rows - 2) / (1 - rho * rho)) AS t, (valid_rows - 2)::DOUBLE AS d FROM c),
     p AS (SELECT *, {_t_tail("t", "d")} AS pv FROM t)
     SELECT feature, score_column, valid_rows, round(rho, 9) AS spearman_rho, round(pv, 6) AS p_value, {_TESTS} FROM p""",
@@ -211,12 +212,7 @@ def survey_spearman(spark, sf_dir):
 
 @query(
     "survey_employment",
-    f"""WITH {_CLEANED}, x AS (SELECT option, CASE WHEN option = 'Student, part-time' THEN k % 4 = 0
-        ELSE (SELECT o_custkey FROM orders WHERE o_orderkey = k) % 5 = 0 END AS has, pay, lg
-      FROM s, (SELECT unnest(['Student, part-time', 'Independent contractor, freelancer, or self-employed']) AS option)),
-    e AS (SELECT option, count(*) FILTER (has) AS selected_rows, count(*) FILTER (NOT has) AS unselected_rows,
-      quantile_cont(pay, 0.5) FILTER (has) AS sm, quantile_cont(pay, 0.5) FILTER (NOT has) AS um, corr(has::INT, lg) AS r
-      FROM x GROUP BY option HAVING count(*) FILTER (has) >= 20 AND count(*) FILTER (NOT has) >= 20),
+    f"""WITH {_OPTIONS},
     t AS (SELECT *, r * sqrt((selected_rows + unselected_rows - 2) / (1 - r * r)) AS t, (selected_rows + unselected_rows - 2)::DOUBLE AS d FROM e),
     p AS (SELECT *, {_t_tail("t", "d")} AS pv FROM t)
     SELECT option, selected_rows, unselected_rows, round(sm, 4) AS selected_median, round(um, 4) AS unselected_median,
@@ -244,3 +240,33 @@ def survey_cleaned_rows(spark, sf_dir):
         F.count_distinct(schema.KEY).alias("keys"),
         F.count("Country").alias("countries"),
     )
+
+
+_NUMBERS = {
+    "YearsCode_num": _NUM,
+    "YearsCodePro_num": "CASE WHEN k % 41 = 0 THEN 0.5 ELSE k % 41 END",
+    "WorkExp_num": "CASE WHEN k % 13 <> 0 THEN k % 45 END",
+    **{f"Knowledge_{i}_score": f"CASE WHEN (k + {i}) * {i + 2} % 6 < 5 THEN (k + {i}) * {i + 2} % 6 - 2 END" for i in range(1, 10)},
+}
+_STRONGEST_NUMBERS = " UNION ALL ".join(f"SELECT '{name}' AS label, corr(CAST({code} AS DOUBLE), lg) AS value FROM s" for name, code in _NUMBERS.items())
+
+
+@query(
+    "survey_strongest",
+    f"""WITH n AS (WITH {_CLEANED} {_STRONGEST_NUMBERS}),
+    r AS (WITH {_RANKED} SELECT feature AS label, rho AS value FROM c),
+    q AS (WITH {_OPTIONS} SELECT option AS label, r AS value FROM e),
+    g AS (WITH {_CLEANED}, l AS (SELECT 'Country' AS label, n_name AS category, lg FROM s UNION ALL SELECT 'DevType', o_orderpriority, lg FROM s
+        UNION ALL SELECT 'RemoteWork', o_orderstatus, lg FROM s UNION ALL SELECT 'Industry', c_mktsegment, lg FROM s
+        UNION ALL SELECT 'ICorPM', (k % 2)::VARCHAR, lg FROM s),
+      w AS (SELECT *, avg(lg) OVER (PARTITION BY label) AS m, avg(lg) OVER (PARTITION BY label, category) AS gm FROM (
+        SELECT *, count(*) OVER (PARTITION BY label, category) AS n FROM l WHERE category IS NOT NULL) WHERE n >= 20)
+      SELECT label, sum(pow(gm - m, 2)) / sum(pow(lg - m, 2)) AS value FROM w GROUP BY label)
+    SELECT 'strongest_numeric' AS fact, arg_max(label, abs(value)) AS label, round(arg_max(value, abs(value)), 7) AS value FROM n WHERE isfinite(value)
+    UNION ALL SELECT 'strongest_ordinal', arg_max(label, abs(value)), round(arg_max(value, abs(value)), 7) FROM r
+    UNION ALL SELECT 'strongest_nominal', arg_max(label, value), round(max(value), 7) FROM g
+    UNION ALL SELECT 'strongest_option', arg_max(label, abs(value)), round(arg_max(value, abs(value)), 7) FROM q""",
+)
+def survey_strongest(spark, sf_dir):
+    """The strongest feature of each test table."""
+    return rounded(_tables(spark, sf_dir).strongest_facts, 7)
