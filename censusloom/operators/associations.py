@@ -141,6 +141,17 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str], labels: Mapping[str, s
     return upper.unionByName(lower)
 
 
+def matrix_table(matrix: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """A long matrix as a table: ``variable``, then one column per variable, in the given order.
+
+    The long form has one row per pair of variables, so the pivot is as small as the matrix.
+    """
+    place = F.array_position(F.array(*[F.lit(v) for v in variables]), F.col("row_variable"))
+    wide = matrix.groupBy("row_variable").pivot("column_variable", list(variables)).agg(F.first("pearson_r"))
+    rows = wide.orderBy(place).withColumnRenamed("row_variable", "variable")
+    return rows.select("variable", *[F.col("`" + v.replace("`", "``") + "`") for v in variables])
+
+
 def spearman_with_target(
     df: DataFrame,
     features: Mapping[str, str],

@@ -183,6 +183,11 @@ class SurveyAnalysis:
     def numeric_correlation_matrix(self) -> DataFrame:
         return correlation_matrix(self.table)
 
+    @cached_property
+    def numeric_correlation_table(self) -> DataFrame:
+        """The matrix in wide form: one row and one column per variable, in the usual order."""
+        return associations.matrix_table(self.numeric_correlation_matrix, list(schema.MATRIX_LABELS.values()))
+
     @cached_property
     def categorical_salary_summary(self) -> DataFrame:
         return distributions.category_distribution(

@@ -27,14 +27,17 @@ def scan_csv(
     spark: SparkSession,
     path: str,
     null_texts: Sequence[str] = DEFAULT_NULL_TEXTS,
-    multi_line: bool = True,
+    multi_line: bool | None = True,
 ) -> DataFrame:
     """Read a CSV with a header, every column as text, ``null_texts`` as NULL.
 
     Types are applied afterwards by :func:`apply_types`, so no inference pass reads
     the data. Quoted line breaks need ``multi_line``, which makes one task per file;
-    turn it off for files without them, so that large files are split.
+    turn it off for files without them, so that large files are split. ``None`` looks
+    for them first: see :func:`has_quoted_line_breaks`.
     """
+    if multi_line is None:
+        multi_line = has_quoted_line_breaks(spark, path)
     raw = (
         spark.read.option("header", True)
         .option("quote", '"')
@@ -50,6 +53,17 @@ def scan_csv(
     )
 
 
+def has_quoted_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field goes on in another line.
+
+    The line where the first such field of a file begins has an odd number of quotes, and in
+    a file without one all lines have an even number. The lines are read as plain text, in
+    split files, up to the first odd one that a task finds.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def _name(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 

@@ -1,7 +1,7 @@
 import pytest
 
 from censusloom.errors import SurveyError
-from censusloom.sources.files import apply_types, scan_csv
+from censusloom.sources.files import apply_types, has_quoted_line_breaks, scan_csv
 from censusloom.sources.inference import column_types, infer_types, type_violations
 from censusloom.sources.order import first_per_key_in_files, first_rows_of_files, with_input_order
 
@@ -121,3 +121,13 @@ def test_types_of_the_first_rows_and_what_breaks_them(spark):
 def test_one_pass_over_many_columns(spark):
     wide = spark.range(50).selectExpr(*[f"CAST(id + {i} AS STRING) AS c{i}" for i in range(114)])
     assert set(column_types(wide).values()) == {"bigint"}
+
+
+def test_line_breaks_in_quotes_are_looked_for(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text('a,b\n1,"x ""y"" z"\n2,"u,v"\n')
+    (tmp_path / "broken.csv").write_text('a,b\n1,"x\ny"\n2,"u"\n3,"p""q\n""r"\n')
+    plain, broken = str(tmp_path / "plain.csv"), str(tmp_path / "broken.csv")
+    assert not has_quoted_line_breaks(spark, plain) and has_quoted_line_breaks(spark, broken)
+    assert [tuple(r) for r in scan_csv(spark, plain, multi_line=None).collect()] == [("1", 'x "y" z'), ("2", "u,v")]
+    found = [tuple(r) for r in scan_csv(spark, broken, multi_line=None).collect()]
+    assert found == [("1", "x\ny"), ("2", "u"), ("3", 'p"q\n"r')]

@@ -71,6 +71,18 @@ def pearson_matrix(spark, sf_dir):
     return _round(A.pearson_matrix(lines, _MATRIX), {"pearson_r": 9})
 
 
+@query(
+    "pearson_matrix_table",
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS variable, " + ", ".join(f"round(corr({a}, {b}), 9) AS {b}" for b in _MATRIX) + " FROM lineitem" for a in _MATRIX
+    ),
+)
+def pearson_matrix_table(spark, sf_dir):
+    """The matrix in wide form, with its variables as rows and columns."""
+    matrix = A.pearson_matrix(table(spark, sf_dir, "lineitem"), _MATRIX)
+    return _round(A.matrix_table(matrix, _MATRIX), {name: 9 for name in _MATRIX})
+
+
 _SPEARMAN = f"""WITH v AS (SELECT priority_order, CAST(o_custkey % 40 AS DOUBLE) AS band, o_totalprice AS y
     FROM {SCORED_ORDERS}),
   l AS (SELECT 'priority_order' AS score_column, 'Priority' AS feature, priority_order AS x, y FROM v
