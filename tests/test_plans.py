@@ -9,12 +9,12 @@ from workloads.tables import table
 
 SF = "/root/testdata/sf0.001"
 # Model jobs return small result tables; their plans are Spark ML's own.
-FITTED = {"ridge_cv", "forest_cv", "model_selection", "importance", "assembled_features"}
+FITTED = {"ridge_cv", "forest_cv", "model_selection", "importance", "importance_ridge", "assembled_features"}
 # The only Python in the plans: p-values of a few tests, and one matrix block per task.
 WITH_PYTHON = {
     "spearman", "spearman_bucketed", "nominal_associations", "nominal_associations_bucketed", "welch_test",
     "multiselect_tests", "pearson_matrix", "survey_matrix", "survey_spearman", "survey_employment",
-    "survey_strongest", "survey_headline_facts",
+    "survey_strongest", "survey_headline_facts", "pearson_matrix_table",
 }
 
 
