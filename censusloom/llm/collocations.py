@@ -22,7 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from censusloom.llm.common import map_batches, remembered, ship, stored
@@ -288,7 +288,7 @@ def _count_grams(docs: DataFrame, vocabulary: dict[str, list[bytes]], words: dic
     return grams.select("lang", "n", F.array_compact(F.array(*parts)).alias("ids"), "f")
 
 
-def _count_by_words(docs: DataFrame, frequent: DataFrame, longest: int, least: int) -> DataFrame:
+def _count_by_words(docs: DataFrame, longest: int, least: int) -> DataFrame:
     """The same counts by a grouping on the words themselves, for vocabularies beyond the bound."""
     lower = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     pieces = docs.select("lang", F.explode(F.split(lower, r"[.,;:!?\x0A-\x0D]")).alias("piece"))
@@ -334,7 +334,7 @@ def phrases(docs: DataFrame, *, lang: str = "lang", text: str = "text", longest:
         grams = _count_grams(docs, vocabulary, totals, longest, least)
         grams = stored(_with_words(grams, vocabulary), "grams")
     else:
-        grams = stored(_count_by_words(docs, frequent, longest, least), "grams")
+        grams = stored(_count_by_words(docs, longest, least), "grams")
     sums = counts.groupBy("lang").agg(F.sum("f").alias("total"))
     return single.unionByName(grams.select("lang", "n", "words", "f")).join(F.broadcast(sums), "lang")
 
