@@ -6,8 +6,9 @@ in the order boolean, bigint, double, timestamp, string. Booleans and numbers ha
 in common, and so have numbers and timestamps.
 
 Each text is turned into a small set of bits, the types it does *not* fit; a column is the
-bitwise OR of its rows. So one aggregate with one integer per column, combined on the map
-side, reads all columns in one pass, however wide the table is.
+bitwise OR of its rows. The cells of a row are taken one after the other by the same small
+code, and one integer per column, combined on the map side, reads all columns in one pass.
+Code that names each column of a wide table would be too long for the JVM to compile.
 """
 
 from __future__ import annotations
@@ -40,8 +41,11 @@ def _quoted(column: str) -> str:
 def _misfits(column: str) -> str:
     """SQL for the bits of the types that a text does not fit; 0 for NULL.
 
-    The patterns decide first, and cheaply; only texts of the right shape are cast, to find
-    integers beyond 64 bits, numbers beyond a double, and dates such as 30 February.
+    A pattern costs far more than a look at single characters, so these choose the one
+    pattern that most texts need: what sorts from ``:`` on begins with no digit, sign, point
+    or space, a time has a hyphen in place 5 after a digit, and an integer has no point. Only
+    texts of the right shape are cast, to find integers beyond 64 bits, numbers beyond a
+    double (which have an exponent or hundreds of digits), and dates such as 30 February.
     """
     name = _quoted(column)
 
@@ -49,14 +53,18 @@ def _misfits(column: str) -> str:
         return _SEEN | _ALL & ~sum(1 << LATTICE.index(kind) for kind in fitting)
 
     booleans = ", ".join(f"'{text}'" for text in BOOLEAN_TEXTS)
-    finite = f"abs(try_cast(trim({name}) AS double)) < double('Infinity')"
+    short = f"length({name}) < 300 AND NOT contains({name}, 'e') AND NOT contains({name}, 'E')"
+    finite = f"({short} OR abs(try_cast(trim({name}) AS double)) < double('Infinity'))"
     return (
         f"CASE WHEN {name} IS NULL THEN 0 "
-        f"WHEN {name} RLIKE '{_INTEGER}' THEN CASE WHEN length({name}) < 19 OR try_cast(trim({name}) AS bigint) IS NOT NULL "
+        f"WHEN {name} >= ':' THEN CASE WHEN {name} IN ({booleans}) THEN {bits('boolean')} ELSE {bits()} END "
+        f"WHEN {name} >= '0' AND substr({name}, 5, 1) = '-' AND {name} RLIKE '{_TIMESTAMP}' "
+        f"THEN CASE WHEN try_cast({name} AS timestamp) IS NOT NULL THEN {bits('timestamp')} ELSE {bits()} END "
+        f"WHEN NOT contains({name}, '.') AND {name} RLIKE '{_INTEGER}' "
+        f"THEN CASE WHEN length({name}) < 19 OR try_cast(trim({name}) AS bigint) IS NOT NULL "
         f"THEN {bits('bigint', 'double')} WHEN {finite} THEN {bits('double')} ELSE {bits()} END "
         f"WHEN {name} RLIKE '{_DECIMAL}' THEN CASE WHEN {finite} THEN {bits('double')} ELSE {bits()} END "
-        f"WHEN {name} RLIKE '{_TIMESTAMP}' AND try_cast({name} AS timestamp) IS NOT NULL THEN {bits('timestamp')} "
-        f"WHEN {name} IN ({booleans}) THEN {bits('boolean')} ELSE {bits()} END"
+        f"ELSE {bits()} END"
     )
 
 
@@ -69,8 +77,16 @@ def _narrowest(bits: int | None, all_null: str) -> str:
 def column_types(df: DataFrame, columns: Sequence[str] | None = None, all_null: str = "double") -> dict[str, str]:
     """The type of each text column by all rows of ``df``; columns of NULLs get ``all_null``."""
     columns = list(columns or df.columns)
-    found = df.selectExpr(*[f"bit_or({_misfits(c)}) AS c{i}" for i, c in enumerate(columns)]).first()
-    return {c: _narrowest(found[i], all_null) for i, c in enumerate(columns)}
+    bits = F.expr(f"bit_or({_misfits('text')})").alias("bits")
+    # One row per column.
+    found = {row["place"]: row["bits"] for row in _cells(df, columns).groupBy("place").agg(bits).collect()}
+    return {c: _narrowest(found.get(i), all_null) for i, c in enumerate(columns)}
+
+
+def _cells(df: DataFrame, columns: Sequence[str], *kept: str) -> DataFrame:
+    """(the ``kept`` columns, place, text) of each cell of some text columns."""
+    texts = ", ".join(f"CAST({_quoted(c)} AS STRING)" for c in columns)
+    return df.selectExpr(*kept, f"posexplode(array({texts})) AS (place, text)")
 
 
 def _fits(column: str, kind: str) -> str:
@@ -98,11 +114,13 @@ def infer_types(
     types = column_types(sample, columns, all_null)
     first: dict[str, int | None] = dict.fromkeys(columns)
     if rows is not None:
-        rest = df.where(F.col(order) >= rows)
-        found = rest.selectExpr(
-            *[f"min(CASE WHEN NOT ({_fits(c, types[c])}) THEN {_quoted(order)} END) AS c{i}" for i, c in enumerate(columns)]
-        ).first()
-        first = {c: found[i] for i, c in enumerate(columns)}
+        typed = [c for c in columns if types[c] != "string"]
+        if typed:
+            tested = ", ".join(str(1 << LATTICE.index(types[c])) for c in typed)
+            cells = _cells(df.where(F.col(order) >= rows), typed, f"{_quoted(order)} AS number")
+            broken = cells.where(f"({_misfits('text')}) & element_at(array({tested}), place + 1) <> 0")
+            least = broken.groupBy("place").agg(F.min("number").alias("first")).collect()
+            first |= {typed[row["place"]]: row["first"] for row in least}
     table = [(i, c, types[c], first[c]) for i, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(table, "position int, column string, type string, first_violation bigint")
 

@@ -1,6 +1,7 @@
 import pytest
 
 from censusloom.errors import SurveyError
+from censusloom.sources import inference
 from censusloom.sources.files import apply_types, has_quoted_line_breaks, scan_csv
 from censusloom.sources.inference import column_types, infer_types, type_violations
 from censusloom.sources.order import first_per_key_in_files, first_rows_of_files, with_input_order
@@ -131,3 +132,25 @@ def test_line_breaks_in_quotes_are_looked_for(spark, tmp_path):
     assert [tuple(r) for r in scan_csv(spark, plain, multi_line=None).collect()] == [("1", 'x "y" z'), ("2", "u,v")]
     found = [tuple(r) for r in scan_csv(spark, broken, multi_line=None).collect()]
     assert found == [("1", "x\ny"), ("2", "u"), ("3", 'p"q\n"r')]
+
+
+def test_the_code_of_type_inference_does_not_grow_with_the_columns(spark, monkeypatch):
+    calls = []
+    built = inference._misfits
+    monkeypatch.setattr(inference, "_misfits", lambda column: calls.append(column) or built(column))
+    wide = spark.range(3).selectExpr("id AS row", *[f"CAST(id * {i} AS STRING) AS c{i}" for i in range(120)])
+    for columns in (["c0"], [f"c{i}" for i in range(120)]):
+        calls.clear()
+        types = {r["type"] for r in infer_types(wide.select("row", *columns), 1, "row").collect()}
+        assert types == {"bigint"} and len(calls) == 2
+
+
+def test_types_of_texts_that_look_like_others(spark):
+    texts = {
+        "    -1e-5": "double", "123e-5": "double", "1e400": "string", "9" * 400: "string", "9" * 30: "double", "+7": "bigint",
+        " 7 ": "bigint", ".5": "double", "5.": "double", "1234-5": "string", "2024-01-31": "timestamp", "2024-02-30": "string",
+        "2024-01-31 25:00": "string", "true": "boolean", "tRUE": "string", ":": "string", "": "string", "-": "string", "1.2.3": "string",
+        "9223372036854775807": "bigint", "9223372036854775808": "double",
+    }
+    one_row = spark.createDataFrame([list(texts)], ", ".join(f"c{i} string" for i in range(len(texts))))
+    assert list(inference.column_types(one_row).values()) == list(texts.values())
