@@ -87,16 +87,24 @@ def duplicate_count(df: DataFrame, keys: Sequence[str], name: str = "duplicates"
 
 
 def fingerprint(df: DataFrame, key: Sequence[str], target: str) -> DataFrame:
-    """Shape and quality numbers of a table as (metric, value)."""
+    """Shape and quality numbers of a table as (metric, value).
+
+    The table is read once: rows are counted per key, and the totals come from these counts.
+    """
     value = number(df, target)
-    body = df.agg(
+    per_key = df.groupBy(*([key] if isinstance(key, str) else key)).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.lit(len(df.columns)).cast("long").alias("columns"),
         _null_cells(df).cast("long").alias("missing_cells"),
         F.count_if(value > 0).alias("valid_target_rows"),
-    ).unpivot([], ["rows", "columns", "missing_cells", "valid_target_rows"], "metric", "value")
-    repeated = duplicate_count(df, key, "duplicate_keys").unpivot([], ["duplicate_keys"], "metric", "value")
-    return body.unionByName(repeated)
+    )
+    total = {name: F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in ("rows", "missing_cells", "valid_target_rows")}
+    return per_key.agg(
+        total["rows"],
+        F.lit(len(df.columns)).cast("long").alias("columns"),
+        total["missing_cells"],
+        total["valid_target_rows"],
+        (F.coalesce(F.sum("rows"), F.lit(0)) - F.count(F.lit(1))).cast("long").alias("duplicate_keys"),
+    ).unpivot([], ["rows", "columns", "missing_cells", "valid_target_rows", "duplicate_keys"], "metric", "value")
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: Sequence[str], target: str) -> DataFrame:

@@ -2,7 +2,8 @@ import pytest
 
 from censusloom.errors import SurveyError
 from censusloom.sources import inference
-from censusloom.sources.files import apply_types, has_quoted_line_breaks, scan_csv
+from censusloom.sources.contracts import fingerprint
+from censusloom.sources.files import apply_types, has_quoted_line_breaks, scan_csv, write_table
 from censusloom.sources.inference import column_types, infer_types, type_violations
 from censusloom.sources.order import first_per_key_in_files, first_rows_of_files, with_input_order
 
@@ -154,3 +155,23 @@ def test_types_of_texts_that_look_like_others(spark):
     }
     one_row = spark.createDataFrame([list(texts)], ", ".join(f"c{i} string" for i in range(len(texts))))
     assert list(inference.column_types(one_row).values()) == list(texts.values())
+
+
+def test_a_fingerprint_reads_the_table_once(spark, tmp_path):
+    rows = [(1, 2.0), (1, None), (None, -1.0), (None, 3.0)]
+    spark.createDataFrame(rows, "k int, v double").write.parquet(str(tmp_path / "t"))
+    found = fingerprint(spark.read.parquet(str(tmp_path / "t")), ["k"], "v")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    numbers = {"rows": 4, "columns": 2, "missing_cells": 3, "valid_target_rows": 2, "duplicate_keys": 2}
+    assert {r["metric"]: r["value"] for r in found.collect()} == numbers
+    empty = fingerprint(spark.read.parquet(str(tmp_path / "t")).where("k > 9"), ["k"], "v")
+    assert {r["metric"]: r["value"] for r in empty.collect()} == dict.fromkeys(numbers, 0) | {"columns": 2}
+
+
+def test_compressed_files_hold_a_bounded_number_of_rows(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    rows = spark.range(1000).selectExpr("CAST(id AS STRING) AS n", "CASE WHEN id % 3 = 0 THEN 'a,\"b' ELSE 'NA' END AS text")
+    write_table(rows.coalesce(1), folder, compression="lz4", rows_per_file=300)
+    read = scan_csv(spark, folder, multi_line=False)
+    assert len(read.inputFiles()) == 4 and read.count() == 1000
+    assert read.where("text = 'a,\"b'").count() == 334 and read.where("text IS NULL").count() == 666
