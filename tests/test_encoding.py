@@ -7,6 +7,7 @@ from pyspark.ml.linalg import Vectors
 from censusloom.encoding import CategoryEncoder, MultiSelectEncoder, NumericScaler, RidgeRegression
 from censusloom.errors import SurveyError
 from censusloom.functions.tokens import INFREQUENT, MISSING
+from workloads import encoding
 
 
 def vectors(df, column):
@@ -85,3 +86,18 @@ def test_ridge_has_the_textbook_penalty(spark):
     expected = np.linalg.solve(centred.T @ centred + 25 * np.eye(3), centred.T @ (y - y.mean()))
     assert np.allclose(model.coefficients.toArray(), expected, rtol=1e-6)
     assert model.intercept == pytest.approx(y.mean() - x.mean(axis=0) @ expected, rel=1e-6)
+
+
+def test_only_the_numeric_block_is_rounded(spark):
+    rows = spark.createDataFrame([(1, Vectors.sparse(6, [0, 1, 4], [1.123456789, -0.5, 1.0])), (2, Vectors.dense([0.0] * 6))], ["k", "v"])
+    shown = rows.select("k", encoding._shown("v", 2, 6, 3).alias("v"))
+    assert {r.k: r.v for r in shown.collect()} == {1: [1.123, -0.5, 0.0, 0.0, 1.0, 0.0], 2: [0.0] * 6}
+    plan = encoding.assembled_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(slice(" in plan
+
+
+def test_tasks_follow_the_size_of_the_arrays(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "_SHOWN_BYTES", 10_000)
+    found = encoding.assembled_features(spark, "/root/testdata/sf0.001")
+    width, rows = len(found.first().features), found.count()
+    assert found.rdd.getNumPartitions() == -(-rows * width * 8 // 10_000) > 8
