@@ -26,10 +26,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from censusloom.llm.common import free_name, map_batches, stored, with_key
+from censusloom.llm.common import change_batches, free_name, map_batches, replace_texts, stored, with_key
 
 LENGTH = 100
 GRAM = 32
@@ -126,8 +127,6 @@ def _with_removed(rows: dict[str, np.ndarray], keys, starts, stops) -> dict[str,
 
 
 def _arrow(rows: dict[str, np.ndarray]) -> dict:
-    import pyarrow as pa
-
     return {name: pa.array(values) for name, values in rows.items()}
 
 
@@ -333,7 +332,6 @@ def _index(batches: Iterator[dict]) -> Iterator[dict]:
 
 def _extract(batches: Iterator[dict]) -> Iterator[dict]:
     """Bytes of open segments; for hot grams the hash of each window, equal ones of a batch collapsed."""
-    import pyarrow as pa
     import xxhash
 
     for batch in batches:
@@ -407,17 +405,17 @@ def _cut(batches: Iterator[dict]) -> Iterator[dict]:
         yield out | {"key": batch["key"]}
 
 
-def _with_spans(plain: DataFrame, hot_segments: int) -> DataFrame:
-    """(key, text, spans): the removed spans of each text as start, size, start, size ..."""
+def _spans_by_key(plain: DataFrame, hot_segments: int) -> DataFrame:
+    """(key, spans): the removed spans of each text that loses some, as start, size, start, size ..."""
     spans = removed_spans(plain, hot_segments)
-    pairs = spans.groupBy("key").agg(F.flatten(F.collect_list(F.array("start", "size"))).alias("spans"))
-    return plain.select("key", "text").join(pairs, "key", "left").select("key", "text", "spans")
+    return spans.groupBy("key").agg(F.flatten(F.collect_list(F.array("start", "size"))).alias("spans"))
 
 
 def cut_keyed(plain: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(key, n_bytes, starts, stops, kept) for (key, text) with unique long keys that give the order."""
     schema = "key bigint, n_bytes bigint, starts array<bigint>, stops array<bigint>, kept binary"
-    return map_batches(_with_spans(plain, hot_segments), _cut, schema)
+    met = plain.select("key", "text").join(_spans_by_key(plain, hot_segments), "key", "left")
+    return map_batches(met.select("key", "text", "spans"), _cut, schema)
 
 
 def remove_repeats(
@@ -437,14 +435,17 @@ def remove_repeats(
     return found.join(keyed.select("key", "ident"), "key").drop("key").withColumnRenamed("ident", ident)
 
 
-def _shortened(batches: Iterator[dict]) -> Iterator[dict]:
-    """The texts that lose something, as far as whole characters are left."""
-    for out in _cut(batches):
-        chosen = [at for at, starts in enumerate(out["starts"]) if starts]
-        keys = out["key"].to_pylist()
-        yield {
-            "key": [keys[at] for at in chosen], "text": [out["kept"][at].decode("utf-8", "ignore") for at in chosen]
-        }
+def _shortened(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Documents whose last column has their spans -> documents with the whole characters that are left."""
+    docs = batch.select(batch.schema.names[:-1])
+    texts = docs.column("text")
+    (cut,) = _cut(iter([{"key": texts, "text": texts, "spans": batch.column(batch.num_columns - 1)}]))
+    changed = [bool(starts) for starts in cut["starts"]]
+    left = [
+        kept.decode("utf-8", "ignore") if new else text
+        for kept, text, new in zip(cut["kept"], texts.to_pylist(), changed, strict=True)
+    ]
+    return replace_texts(docs, left, changed)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -453,17 +454,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A character that loses some of its bytes goes as a whole. Texts that nothing was cut
     from stay as they are; those that lose everything become empty.
     """
-    key, fresh = free_name(docs, "_key"), free_name(docs, "_fresh")
+    key, gone = free_name(docs, "_key"), free_name(docs, "_gone")
     keyed, _ = with_key(docs, "doc_id", "text", key)
-    plain = keyed.select(F.col(key).alias("key"), "text")
-    texts = map_batches(_with_spans(plain, HOT_SEGMENTS), _shortened, "key bigint, text string")
-    joined = keyed.join(texts.select(F.col("key").alias(key), F.col("text").alias(fresh)), key, "left")
-    changed = F.col(fresh).isNotNull()
-    columns = {"text": F.coalesce(fresh, "text")}
-    if "n_chars" in docs.columns:
-        counted = F.length(fresh).cast(docs.schema["n_chars"].dataType)
-        columns["n_chars"] = F.when(changed, counted).otherwise(F.col("n_chars"))
-    return joined.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+    spans = _spans_by_key(keyed.select(F.col(key).alias("key"), "text"), HOT_SEGMENTS)
+    # Whole documents meet their spans and are cut on the spot, so texts are not joined back to them.
+    met = keyed.join(spans.withColumnsRenamed({"key": key, "spans": gone}), key, "left").drop(key)
+    return change_batches(met, _shortened, docs.schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:

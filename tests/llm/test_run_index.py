@@ -149,3 +149,9 @@ def test_texts_of_documents(spark):
                              (4, "short", "en", "s", 99)])
     found = {r.doc_id: (r.text, r.n_chars) for r in ri.without_repeats(docs).collect()}
     assert found == {1: (passage, 5), 2: ("ü", 1), 3: (None, None), 4: ("short", 99)}
+
+
+def test_documents_are_joined_to_their_spans_only(spark):
+    docs = documents(spark, [(i, t, "en", "s", 1) for i, t in crowded()])
+    plan = ri.without_repeats(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join" in line.split() for line in plan.replace("+-", " ").replace(":-", " ").splitlines()) == 1
