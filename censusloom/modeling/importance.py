@@ -86,22 +86,22 @@ def permutation_importance(model: PipelineModel, test: DataFrame, spec: ModelSpe
     rows = encoded.count()
     check(rows >= 2, "permutation importance needs at least two test rows")
 
-    repeats = F.explode(F.sequence(F.lit(0), F.lit(spec.importance_repeats - 1))).alias("repeat")
-    rows_in_order = encoded.select(spec.key, "_actual", F.col("_parts").alias("_own"), repeats).withColumn(
+    rows_in_order = encoded.select(spec.key, "_actual", F.col("_parts").alias("_own")).withColumn(
         "_order", hash_order(F.col(spec.key), f"{spec.seed}/rows")
     )
+    repeats = F.explode(F.sequence(F.lit(0), F.lit(spec.importance_repeats - 1))).alias("repeat")
     donors = encoded.select(spec.key, F.col("_parts").alias("_donor"), repeats).withColumn(
         "_order",
         F.md5(F.concat(F.lit(f"{spec.seed}/donors/"), F.col("repeat"), F.lit(":"), F.col(spec.key))),
     )
-    every = rows * spec.importance_repeats
-    placed = hash_positions(
-        rows_in_order, ["repeat"], "_order", spec.key, every, "_place", spec.rows_per_bucket
-    ).select("repeat", "_place", "_actual", "_own")
+    # The rows keep their places in all repeats, so they are placed once; only the donors change.
+    placed = hash_positions(rows_in_order, [], "_order", spec.key, rows, "_place", spec.rows_per_bucket).select(
+        "_place", "_actual", "_own"
+    )
     given = hash_positions(
-        donors, ["repeat"], "_order", spec.key, every, "_place", spec.rows_per_bucket
+        donors, ["repeat"], "_order", spec.key, rows * spec.importance_repeats, "_place", spec.rows_per_bucket
     ).select("repeat", "_place", "_donor")
-    met = placed.join(given, ["repeat", "_place"])
+    met = placed.join(given, "_place")
 
     names = F.array(*[F.lit(name) for name in features])
     if linear:

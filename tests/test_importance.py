@@ -71,3 +71,10 @@ def test_every_position_has_an_owner(rows):
     owners = feature_owners(model)
     assert len(owners) == model.stages[-2].numFeatures
     assert owners == ["years", "years", "place", "place", "place", "place", *["tools"] * (owners.count("tools"))]
+
+
+def test_only_donors_are_repeated(rows):
+    job = spec()
+    found = permutation_importance(fit_final(rows, job, "Ridge", {"alpha": 1.0}), rows, job)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(") == 1
