@@ -35,7 +35,7 @@ from censusloom.llm.common import change_batches, free_name, map_batches, replac
 LENGTH = 100
 GRAM = 32
 HOT_SEGMENTS = 20_000
-INDEX_BYTES = 2_000_000
+INDEX_BYTES = 500_000  # a task's memory grows with this, or with the largest gram that is not hot
 _BLOCK = 1 << 19  # windows of a long text are named block by block
 _LOW = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -200,31 +200,54 @@ def _collapse(batches: Iterator[dict]) -> Iterator[dict]:
         yield _arrow(done)
 
 
+def _places(size: int) -> type:
+    """The smallest integers that count the places of a text and one more."""
+    return np.int32 if size < 2**31 - 1 else np.int64
+
+
+def _bytes_left(ends: np.ndarray, size: int) -> np.ndarray:
+    """Bytes from each place of a text to the next separator, at ``ends``."""
+    kind = _places(size)
+    left = np.repeat(ends.astype(kind), np.diff(ends, prepend=-1))
+    left -= np.arange(size, dtype=kind)
+    return left
+
+
 def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Order of all suffixes of ``text``; each ends at the next separator, at ``ends``.
 
     Separators are larger than all bytes and rise with their place.
     """
     size = len(text)
-    position = np.arange(size)
-    left = ends[np.searchsorted(ends, position)] - position  # bytes before the separator
-    padded = np.r_[text, np.full(8, _SEPARATOR, np.uint8)].astype(np.uint64)
+    kind = _places(size)
+    left = _bytes_left(ends, size)
+    padded = np.r_[text, np.full(8, _SEPARATOR, np.uint8)]
     key = np.zeros(size, np.uint64)
     for at in range(8):
-        key = (key << np.uint64(8)) | np.where(at <= left, padded[at : at + size], np.uint64(_SEPARATOR))
+        key <<= np.uint64(8)
+        key |= np.where(at <= left, padded[at : at + size], np.uint8(_SEPARATOR))
     length = 8
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(size, np.int64)
-    step = np.r_[0, np.cumsum(key[order[1:]] != key[order[:-1]])]
-    rank[order] = step
+    rank = np.empty(size, kind)
+
+    def sort(key: np.ndarray) -> tuple[np.ndarray, int]:
+        """The order of the keys, whose places become the ranks; and the largest rank."""
+        order = np.argsort(key, kind="stable").astype(kind)
+        key = key[order]
+        step = np.zeros(size, kind)
+        np.cumsum(key[1:] != key[:-1], out=step[1:])
+        rank[order] = step
+        return order, int(step[-1])
+
+    order, most = sort(key)
     longest = int(left.max(initial=0)) + 1
-    while length < longest and step[-1] < size - 1:
+    while length < longest and most < size - 1:
         # Beyond its separator a suffix has nothing to compare: ties keep the order of places.
-        beyond = np.where(left >= length, rank[np.minimum(position + length, size - 1)] + 1, 0)
-        key = rank * (size + 1) + beyond
-        order = np.argsort(key, kind="stable")
-        step = np.r_[0, np.cumsum(key[order[1:]] != key[order[:-1]])]
-        rank[order] = step
+        key = rank.astype(np.int64)
+        key *= size + 1
+        more = np.flatnonzero(left >= length)
+        key[more] += rank[more + length] + kind(1)
+        del more
+        order, most = sort(key)
         length *= 2
     return order
 
@@ -234,7 +257,7 @@ def run_heads(text: np.ndarray, order: np.ndarray, begins: np.ndarray) -> np.nda
 
     A suffix at the begin of a segment follows a separator, which is a run of its own.
     """
-    before = text[order - 1].astype(np.int64)
+    before = text[order - 1].astype(np.int16)
     at_begin = np.zeros(len(text), bool)
     at_begin[begins] = True
     before[at_begin[order]] = -1
@@ -249,25 +272,29 @@ def matching_statistics(text: np.ndarray, ends: np.ndarray, order: np.ndarray, h
     Counted at the heads of runs; other suffixes agree one byte less than the suffix one
     byte to their left, as both neighbours moved along the same run.
     """
-    size = len(text)
+    size, kind = len(text), _places(len(text))
     here, before = order[heads], order[np.maximum(heads - 1, 0)]
-    most = np.minimum(ends[np.searchsorted(ends, here)] - here, ends[np.searchsorted(ends, before)] - before)
+    left = _bytes_left(ends, size)
+    most = np.minimum(left[here], left[before])
+    del left
     most[heads == 0] = 0
-    shared = np.zeros(len(heads), np.int64)
+    shared = np.zeros(len(heads), kind)
     padded = np.r_[text, np.full(8, _SEPARATOR, np.uint8)]
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
     alive = np.flatnonzero(most > 0)
     while len(alive):
         a = words[here[alive] + shared[alive]]
         b = words[before[alive] + shared[alive]]
-        same = (a == b).cumprod(axis=1).sum(axis=1)
+        same = np.logical_and.accumulate(a == b, axis=1).sum(axis=1, dtype=kind)
         shared[alive] += same
         alive = alive[(same == 8) & (shared[alive] < most[alive])]
-    sampled = np.full(size, -1, np.int64)
-    sampled[here] = np.minimum(shared, most)
-    position = np.arange(size)
-    source = np.maximum.accumulate(np.where(sampled >= 0, position, 0))
-    return np.maximum(sampled[source] - (position - source), 0)
+    # At a head the shared bytes plus its place; what follows up to the next head has the same sum.
+    heads_at = np.sort(here)
+    sums = np.empty(size, kind)
+    sums[here] = np.minimum(shared, most) + here
+    found = np.repeat(sums[heads_at], np.diff(heads_at, append=size))
+    found -= np.arange(size, dtype=kind)
+    return np.maximum(found, kind(0), out=found)
 
 
 def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -290,8 +317,9 @@ def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> tuple[np.ndar
 
 def _index(batches: Iterator[dict]) -> Iterator[dict]:
     """Rows sorted by (kind, gram, body, key, start) -> removed spans (key, start, size)."""
-    held: list[tuple] = []
-    held_bytes = 0
+    held: list[tuple] = []  # rows of whole grams
+    group: list[tuple] = []  # rows of the gram being read
+    held_bytes = group_bytes = 0
     window: tuple | None = None
 
     def removed(rows: list[tuple]) -> dict:
@@ -319,15 +347,20 @@ def _index(batches: Iterator[dict]) -> Iterator[dict]:
                     spans.append((key, start, size))
                 window = (gram, body)
                 continue
-            if held_bytes > INDEX_BYTES and held[-1][0] != gram:
-                yield removed(held)
-                held, held_bytes = [], 0
-            held.append((gram, key, start, data))
-            held_bytes += len(data)
+            if group and group[-1][0] != gram:
+                if held and held_bytes + group_bytes > INDEX_BYTES:
+                    yield removed(held)
+                    held, held_bytes = [], 0
+                held += group
+                held_bytes += group_bytes
+                group, group_bytes = [], 0
+            group.append((gram, key, start, data))
+            group_bytes += len(data)
         if spans:
             yield dict(zip(("key", "start", "size"), map(list, zip(*spans, strict=True)), strict=True))
-    if held:
-        yield removed(held)
+    for rows in (held, group) if held_bytes + group_bytes > INDEX_BYTES else (held + group,):
+        if rows:
+            yield removed(rows)
 
 
 def _extract(batches: Iterator[dict]) -> Iterator[dict]:

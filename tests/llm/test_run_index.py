@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SF, clashing, documents, odd_rows, parquet_rows, prose
 
@@ -155,3 +157,39 @@ def test_documents_are_joined_to_their_spans_only(spark):
     docs = documents(spark, [(i, t, "en", "s", 1) for i, t in crowded()])
     plan = ri.without_repeats(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Join" in line.split() for line in plan.replace("+-", " ").replace(":-", " ").splitlines()) == 1
+
+
+def _gram_batches(sizes):
+    """Batches of 10 rows: ``sizes[g]`` different segments of 120 bytes for gram g."""
+    draw = random.Random(3)
+    rows = [
+        (0, gram, at, at, 0, 120, bytes(draw.choice(b"abcdefgh") for _ in range(120)))
+        for gram, size in enumerate(sizes)
+        for at in range(size)
+    ]
+    names = ("kind", "gram", "body", "key", "start", "size")
+    for at in range(0, len(rows), 10):
+        part = rows[at : at + 10]
+        batch = {n: pa.array([r[i] for r in part], pa.int64()) for i, n in enumerate(names)}
+        yield batch | {"bytes": pa.array([r[6] for r in part], pa.binary())}
+
+
+def test_a_large_gram_is_indexed_apart_from_the_grams_before_it(monkeypatch):
+    seen = []
+    monkeypatch.setattr(ri, "INDEX_BYTES", 2_400)
+    monkeypatch.setattr(ri, "repeated_windows", lambda pieces: seen.append(len(pieces)) or (np.empty(0, int),) * 2)
+    sizes = [15, 4, 100, 3, 16, 2, 60]
+    list(ri._index(_gram_batches(sizes)))
+    assert seen == [19, 100, 19, 2, 60]
+
+
+def test_an_index_takes_few_bytes_of_memory_for_each_byte_of_text():
+    draw = random.Random(4)
+    words = [bytes(draw.choice(b"abcdefgh") for _ in range(draw.randint(2, 9))) for _ in range(500)]
+    pieces = [b" ".join(draw.choice(words) for _ in range(30))[:140] for _ in range(4_000)]
+    tracemalloc.start()
+    try:
+        ri.repeated_windows(pieces)
+        assert tracemalloc.get_traced_memory()[1] < 55 * sum(map(len, pieces))
+    finally:
+        tracemalloc.stop()
