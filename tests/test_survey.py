@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from censusloom.errors import SurveyError
 from censusloom.plans import survey as plan
 from censusloom.plans import survey_schema as schema
-from workloads.survey import survey_answers
+from workloads.survey import _tables, survey_answers
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,6 +20,26 @@ def analysis(raw):
     return plan.SurveyAnalysis(raw, plan.derive(raw, ["ConvertedCompYearly"]).persist())
 
 
+def test_the_answers_are_built_once(spark, tmp_path):
+    k = F.col("id")
+    tables = {
+        "orders": spark.range(1, 400).select(
+            k.alias("o_orderkey"), (k % 20).alias("o_custkey"), F.lit("F").alias("o_orderstatus"),
+            F.lit("2-HIGH").alias("o_orderpriority"), (k * 7 % 101 + 10.5).alias("o_totalprice"),
+        ),
+        "customer": spark.range(20).select(
+            k.alias("c_custkey"), F.when(k > 3, k % 3).alias("c_nationkey"), F.lit("BUILDING").alias("c_mktsegment")
+        ),
+        "nation": spark.range(3).select(k.alias("n_nationkey"), F.concat(F.lit("N"), k.cast("string")).alias("n_name")),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    found, expected = _tables(spark, str(tmp_path)).raw, survey_answers(spark, str(tmp_path))
+    assert not [f for f in found.inputFiles() if str(tmp_path) in f]
+    assert found.columns == expected.columns and found.count() == 403
+    assert found.exceptAll(expected).isEmpty()
+
+
 def test_contract(raw):
     assert len(schema.REQUIRED_COLUMNS) == 34 == len(set(schema.REQUIRED_COLUMNS))
     with pytest.raises(SurveyError, match="Country, WorkExp"):

@@ -74,7 +74,8 @@ def survey_answers(spark, sf_dir):
 
 
 def _tables(spark, sf_dir):
-    raw = survey_answers(spark, sf_dir)
+    # Checks, the search for repeated answers and the derived columns each read the answers, some twice.
+    raw = plan.settled(survey_answers(spark, sf_dir))
     plan.check_input(raw)
     derived = plan.derive(raw, ["ConvertedCompYearly"])
     return plan.SurveyAnalysis(raw, derived, settle=True)
