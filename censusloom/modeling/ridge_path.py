@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from censusloom.functions.scalars import number
 from censusloom.functions.tokens import MISSING, tokens
 from censusloom.modeling.evaluation import metric_columns
 from censusloom.modeling.spec import ModelSpec
-from censusloom.operators.quantiles import grouped_quantiles
+from censusloom.operators.quantiles import counted_quantiles
 
 MAX_WIDTH = 1024
 _CHUNK_ROWS = 2048
@@ -83,33 +84,37 @@ def _counts_by_fold(folds: int) -> list:
     return [F.sum(F.when(F.col("fold") == f, F.col("rows")).otherwise(0)).alias(f"f{f}") for f in range(folds)]
 
 
-def _learn(train: DataFrame, spec: ModelSpec, max_width: int) -> RawColumns | None:
+def learn(train: DataFrame, spec: ModelSpec, max_width: int = MAX_WIDTH) -> RawColumns | None:
     """Medians and counts by fold, each from one grouped pass; None where the width is too large."""
     folds = spec.folds
     numeric = list(spec.numeric)
     values = train.select("fold", *[number(train, c).alias(c) for c in numeric])
-    facts = values.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(numeric)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(numeric)]
-    ).first()
+    statistics = [F.avg(c).alias(f"m{i}") for i, c in enumerate(numeric)]
+    statistics += [F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(numeric)]
+    facts = values.agg(*statistics).first() if statistics else {}
     numeric = [c for i, c in enumerate(numeric) if facts[f"m{i}"] is not None]
     place = {c: i for i, c in enumerate(spec.numeric)}
     shift = np.array([facts[f"m{place[c]}"] for c in numeric])
     unit = np.array([facts[f"s{place[c]}"] or 1.0 for c in numeric])
     medians: list[dict[str, float]] = [{} for _ in range(folds)]
     if numeric:
+        # Equal values are counted by fold once; only the counts are repeated for the parts without one fold.
         long = values.unpivot(["fold"], numeric, "column", "x").where("x IS NOT NULL")
-        others = F.array(*[F.lit(f) for f in range(folds)])
-        long = long.withColumn("out", F.explode(F.array_remove(others, F.col("fold"))))
-        found = grouped_quantiles(long, ["out", "column"], "x", {"median": 0.5}, rows_per_bucket=spec.rows_per_bucket)
+        by_fold = long.groupBy("column", "x").agg(*[F.count_if(F.col("fold") == f).alias(f"f{f}") for f in range(folds)])
+        total = sum((F.col(f"f{f}") for f in range(folds)), F.lit(0))
+        parts = F.array(*[F.struct(F.lit(f).alias("out"), (total - F.col(f"f{f}")).alias("_count")) for f in range(folds)])
+        counts = by_fold.select("column", "x", F.inline(parts)).where("_count > 0").persist(StorageLevel.MEMORY_AND_DISK)
+        found = counted_quantiles(counts, ["out", "column"], "x", {"median": 0.5}, spec.rows_per_bucket)
         for row in found.collect():  # folds x numeric columns
             medians[row["out"]][row["column"]] = row["median"]
+        counts.unpersist()
 
     def vocabulary(long: DataFrame, minimum: int, columns: Sequence[str], always: str | None):
         """Entries with ``minimum`` rows overall, and the rows of all others, by column and fold."""
         counted = long.groupBy("column", "entry", "fold").agg(F.count(F.lit(1)).alias("rows"))
         wide = counted.groupBy("column", "entry").agg(*_counts_by_fold(folds))
         total = sum((F.col(f"f{f}") for f in range(folds)), F.lit(0))
-        often = (total >= minimum) | (F.col("entry") == F.lit(always))
+        often = (total >= minimum) | F.col("entry").eqNullSafe(F.lit(always))
         kept = wide.where(often).limit(max_width + 1).collect()
         if len(kept) > max_width:
             return None
@@ -263,6 +268,15 @@ def _sums(rows: DataFrame, raw: RawColumns, minimum: int) -> tuple[np.ndarray, n
     return products, with_target
 
 
+def kept_labels(raw: RawColumns, spec: ModelSpec, name: str, fold: int) -> tuple[list[int], bool]:
+    """Places of the labels that are common outside ``fold``, and whether others of these labels share a bucket."""
+    counts = raw.label_rows[name].sum(1) - raw.label_rows[name][:, fold]
+    found = [(n, label, i) for i, (n, label) in enumerate(zip(counts, raw.labels[name], strict=True)) if n >= spec.min_label_rows]
+    crowded = len(found) > spec.max_labels - 1
+    kept = sorted(i for _, _, i in sorted(found, key=lambda e: (e[0], e[1].encode()), reverse=True)[: spec.max_labels - 1])
+    return kept, bool(crowded or any(0 < n < spec.min_label_rows for n in counts))
+
+
 def _features(raw: RawColumns, spec: ModelSpec, fold: int, products: np.ndarray) -> np.ndarray:
     """The matrix that turns raw columns into the features this fold learns from the others."""
     inside = products.sum(0) - products[fold]
@@ -291,13 +305,9 @@ def _features(raw: RawColumns, spec: ModelSpec, fold: int, products: np.ndarray)
             flag[raw.at["missing", name]] = 1.0
             columns.append(scaled(flag))
     for name in raw.nominal:
-        counts = raw.label_rows[name].sum(1) - raw.label_rows[name][:, fold]
-        found = [(n, label, i) for i, (n, label) in enumerate(zip(counts, raw.labels[name], strict=True)) if n >= spec.min_label_rows]
-        crowded = len(found) > spec.max_labels - 1
-        kept = {i for _, _, i in sorted(found, key=lambda e: (e[0], e[1].encode()), reverse=True)[: spec.max_labels - 1]}
-        others = raw.other_rows[name].sum() - raw.other_rows[name][fold]
+        kept, bucketed = kept_labels(raw, spec, name, fold)
         bucket = column()
-        for i in range(len(counts)):
+        for i in range(len(raw.labels[name])):
             if i in kept:
                 made = column()
                 made[raw.at["labels", name] + i] = 1.0
@@ -305,7 +315,7 @@ def _features(raw: RawColumns, spec: ModelSpec, fold: int, products: np.ndarray)
             else:
                 bucket[raw.at["labels", name] + i] = 1.0
         bucket[raw.at["other", name]] = 1.0
-        if crowded or others > 0 or any(0 < n < spec.min_label_rows for n in counts):
+        if bucketed:
             columns.append(bucket)
     for name in raw.multiselect:
         for i in np.flatnonzero(raw.common_words(name, fold, spec.min_token_rows)):
@@ -334,17 +344,14 @@ def _solve(products: np.ndarray, with_target: np.ndarray, turn: np.ndarray, alph
     return out
 
 
-def ridge_path(train: DataFrame, spec: ModelSpec, alphas: Sequence[float], max_width: int = MAX_WIDTH) -> list[dict] | None:
+def ridge_path(train: DataFrame, spec: ModelSpec, alphas: Sequence[float], raw: RawColumns) -> list[dict]:
     """Metrics of every penalty on every fold: dicts with fold, position of the penalty, metrics.
 
     ``train`` has the columns of ``spec`` and ``fold``. The result equals that of fitting the
-    encoders and a ridge regression on each training part, up to rounding. None where the raw
-    columns would exceed ``max_width``.
+    encoders and a ridge regression on each training part, up to rounding. ``raw`` is what
+    :func:`learn` found in ``train``.
     """
     check(all(a >= 0 for a in alphas), "a penalty must not be negative")
-    raw = _learn(train, spec, max_width)
-    if raw is None:
-        return None
     rows = _rows_for_tasks(train, spec, raw)
     products, with_target = _sums(rows, raw, spec.min_token_rows)
     weights = []
