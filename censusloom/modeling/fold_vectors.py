@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from censusloom.encoding.categories import _label
-from censusloom.encoding.numeric import _usable_scale
+from censusloom.encoding.numeric import _usable_scale, filled_moments
 from censusloom.functions.scalars import number
 from censusloom.functions.tokens import MISSING, tokens
 from censusloom.modeling.ridge_path import RawColumns, kept_labels
@@ -52,33 +52,27 @@ class FoldVectors:
 
     def __init__(self, coded: DataFrame, spec: ModelSpec, raw: RawColumns) -> None:
         self.spec, self.raw = spec, raw
+        self.rows = {r["fold"]: r["count"] for r in coded.groupBy("fold").count().collect()}
+        # Trees look at the last digit of a scaled value, so the moments are added up like the scaler's:
+        # over the rows of a training part, not from those of its folds.
+        others = F.array(*[F.lit(f) for f in range(raw.folds)])
         columns = [f"n{i}" for i in range(len(raw.numeric))]
-        moments = [f(c).alias(f"{name}_{c}") for c in columns for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))]
-        found = {r["fold"]: r for r in coded.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), *moments).collect()}
-        self.rows = {fold: row["rows"] for fold, row in found.items()}
-        # Known values, their mean and variance; folds x columns.
-        self.known, self.mean, self.variance = (
-            np.array([[(found[f][f"{name}_{c}"] or 0.0) if f in found else 0.0 for c in columns] for f in range(raw.folds)], float)
-            for name in ("n", "m", "v")
-        )
+        moments = [f(c).alias(f"{name}_{c}") for c in columns for name, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))]
+        inside = coded.select(F.explode(F.array_remove(others, F.col("fold"))).alias("out"), *columns)
+        self.moments = {r["out"]: r.asDict() for r in inside.groupBy("out").agg(*moments).collect()} if moments else {}
 
     def _numeric(self, fold: int) -> list[Column]:
         total = sum(rows for f, rows in self.rows.items() if f != fold)
-        inside = [f for f in range(self.raw.folds) if f != fold]
         values, flags = [], []
         for i, name in enumerate(self.raw.numeric):
             if name not in self.raw.medians[fold]:
                 continue  # no value outside this fold
-            median, n = self.raw.medians[fold][name], self.known[inside, i]
-            known, missing = n.sum(), total - n.sum()
-            level = float(n @ self.mean[inside, i] / known)
-            spread = float(n @ (self.variance[inside, i] + (self.mean[inside, i] - level) ** 2) / known)
-            mean = float((known * level + missing * median) / total)
-            variance = float((known * (spread + (level - mean) ** 2) + missing * (median - mean) ** 2) / total)
+            median, row = self.raw.medians[fold][name], self.moments[fold]
+            mean, variance, missing = filled_moments(row[f"n_n{i}"], row[f"mean_n{i}"], row[f"var_n{i}"], median, total)
             scale = _usable_scale(mean, variance, total)
-            values.append((F.coalesce(F.col(f"n{i}"), F.lit(float(median))) - F.lit(mean)) / F.lit(scale))
+            values.append((F.coalesce(F.col(f"n{i}"), F.lit(median)) - F.lit(mean)) / F.lit(scale))
             if missing:
-                share = float(missing / total)
+                share = missing / total
                 scale = _usable_scale(share, share * (1 - share), total)
                 flags.append((F.col(f"n{i}").isNull().cast("double") - F.lit(share)) / F.lit(scale))
         return [*values, *flags]
