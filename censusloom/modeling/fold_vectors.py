@@ -4,8 +4,8 @@ The encoders of a fold differ from those of the others only in medians, scales a
 and tokens are common. So the rows are coded once for all folds: a number per numeric column, the
 place of a label or token among those that may be common in some fold, 0 for all others. What a
 fold has learned is known from the counts of :mod:`censusloom.modeling.ridge_path`, and its vector
-is a short expression over the codes. Vectors are made where they are read and never kept; only the
-narrow codes are.
+is a short expression over the codes. Only the narrow codes are kept for the whole job; the vectors of
+a fold are kept while several fits read them, and only up to ``KEPT_VALUES`` numbers at a time.
 
 The vectors are dense, with one expression per position, so they are limited to ``MAX_POSITIONS``;
 a wider job is left to the encoders, fitted fold by fold.
@@ -26,6 +26,7 @@ from censusloom.modeling.ridge_path import RawColumns, kept_labels
 from censusloom.modeling.spec import ModelSpec
 
 MAX_POSITIONS = 256
+KEPT_VALUES = 750_000_000  # some 6 GB in all executors
 
 
 def _texts(words: list[str]) -> Column:
@@ -40,7 +41,7 @@ def coded_rows(train: DataFrame, spec: ModelSpec, raw: RawColumns) -> DataFrame:
     """Fold, target and the codes of all features; the rows stay in their order and partitions."""
     return train.select(
         F.col("fold").cast("int").alias("fold"),
-        F.col(spec.target).alias("target"),
+        F.col(spec.target).cast("double").alias("target"),
         *[number(train, c).alias(f"n{i}") for i, c in enumerate(raw.numeric)],
         *[F.array_position(_texts(raw.labels[c]), _label(c)).cast("int").alias(f"l{i}") for i, c in enumerate(raw.nominal)],
         *[_places(tokens(F.col(c).cast("string")), raw.words[c]).alias(f"t{i}") for i, c in enumerate(raw.multiselect)],
@@ -98,6 +99,11 @@ class FoldVectors:
             positions.append(F.arrays_overlap(codes, F.array(*[F.lit(code) for code in rare])).cast("double"))
         return positions
 
+    def fit_in_memory(self, side_by_side: int) -> bool:
+        """Whether the vectors of so many training parts together stay under ``KEPT_VALUES``."""
+        largest = sum(self.rows.values()) - min(self.rows.values(), default=0)
+        return side_by_side * largest * self.raw.width <= KEPT_VALUES
+
     def features(self, fold: int) -> Column:
         """The vector that the encoders would give when fitted on all other folds."""
         positions = [*self._numeric(fold), *self._nominal(fold), *self._multiselect(fold)]

@@ -112,13 +112,16 @@ def learn(train: DataFrame, spec: ModelSpec, max_width: int = MAX_WIDTH) -> RawC
     def vocabulary(long: DataFrame, minimum: int, columns: Sequence[str], always: str | None):
         """Entries with ``minimum`` rows overall, and the rows of all others, by column and fold."""
         counted = long.groupBy("column", "entry", "fold").agg(F.count(F.lit(1)).alias("rows"))
-        wide = counted.groupBy("column", "entry").agg(*_counts_by_fold(folds))
+        # Read twice; the rows are counted once.
+        wide = counted.groupBy("column", "entry").agg(*_counts_by_fold(folds)).persist(StorageLevel.MEMORY_AND_DISK)
         total = sum((F.col(f"f{f}") for f in range(folds)), F.lit(0))
         often = (total >= minimum) | F.col("entry").eqNullSafe(F.lit(always))
         kept = wide.where(often).limit(max_width + 1).collect()
         if len(kept) > max_width:
+            wide.unpersist()
             return None
         rest = wide.where(~often).groupBy("column").agg(*[F.sum(f"f{f}").alias(f"f{f}") for f in range(folds)]).collect()
+        wide.unpersist()
         entries: dict[str, list[str]] = {c: [] for c in columns}
         rows: dict[str, list[list[int]]] = {c: [] for c in columns}
         for r in sorted(kept, key=lambda r: (r["column"], r["entry"] == always, r["entry"])):
@@ -178,6 +181,9 @@ def _encoder(raw: RawColumns, minimum: int):
     common = {(c, f): raw.common_words(c, f, minimum) for c in multiselect for f in range(folds)}
 
     def places(values: pa.Array, known: pa.Array, otherwise: int) -> np.ndarray:
+        if pa.types.is_integer(values.type):  # coded already: the place plus 1, 0 for all others
+            codes = values.to_numpy(zero_copy_only=False)
+            return np.where(codes > 0, codes - 1, otherwise)
         return pc.fill_null(pc.index_in(values, known), otherwise).to_numpy(zero_copy_only=False)
 
     def encode(batch: pa.RecordBatch) -> np.ndarray:
@@ -344,15 +350,18 @@ def _solve(products: np.ndarray, with_target: np.ndarray, turn: np.ndarray, alph
     return out
 
 
-def ridge_path(train: DataFrame, spec: ModelSpec, alphas: Sequence[float], raw: RawColumns) -> list[dict]:
+def ridge_path(
+    train: DataFrame, spec: ModelSpec, alphas: Sequence[float], raw: RawColumns, coded: DataFrame | None = None
+) -> list[dict]:
     """Metrics of every penalty on every fold: dicts with fold, position of the penalty, metrics.
 
     ``train`` has the columns of ``spec`` and ``fold``. The result equals that of fitting the
     encoders and a ridge regression on each training part, up to rounding. ``raw`` is what
-    :func:`learn` found in ``train``.
+    :func:`learn` found in ``train``. Where the rows are coded already (``coded``, see
+    :mod:`censusloom.modeling.fold_vectors`), both passes read the codes instead of the texts.
     """
     check(all(a >= 0 for a in alphas), "a penalty must not be negative")
-    rows = _rows_for_tasks(train, spec, raw)
+    rows = coded if coded is not None else _rows_for_tasks(train, spec, raw)
     products, with_target = _sums(rows, raw, spec.min_token_rows)
     weights = []
     for fold in range(spec.folds):
