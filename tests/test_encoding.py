@@ -3,10 +3,11 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from censusloom.encoding import CategoryEncoder, MultiSelectEncoder, NumericScaler, RidgeRegression
 from censusloom.errors import SurveyError
-from censusloom.functions.tokens import INFREQUENT, MISSING
+from censusloom.functions.tokens import INFREQUENT, MISSING, keep_common
 from workloads import encoding
 
 
@@ -101,3 +102,17 @@ def test_tasks_follow_the_size_of_the_arrays(spark, monkeypatch):
     found = encoding.assembled_features(spark, "/root/testdata/sf0.001")
     width, rows = len(found.first().features), found.count()
     assert found.rdd.getNumPartitions() == -(-rows * width * 8 // 10_000) > 8
+
+
+def test_the_wide_array_is_made_once(spark):
+    plan = encoding.assembled_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.splitlines()[0]
+    assert "slice" not in top and "concat" not in top  # the assembled vector is shown as it is
+    assert "Join" not in plan  # the encoders and the last pass read rows that were joined before
+
+
+def test_words_are_kept_as_written(spark):
+    words = ["it's", "a\\b", 'q"x', "two\nlines", "\\u0041", "\\'", "%_", "é", ""]
+    rows = spark.createDataFrame([([*words, "other", None, MISSING],), (None,), ([],)], "t array<string>")
+    kept = [r[0] for r in rows.select(keep_common(F.col("t"), words)).collect()]
+    assert kept == [[*words, INFREQUENT, MISSING], None, []]
