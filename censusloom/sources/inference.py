@@ -9,11 +9,16 @@ Each text is turned into a small set of bits, the types it does *not* fit; a col
 bitwise OR of its rows. The cells of a row are taken one after the other by the same small
 code, and one integer per column, combined on the map side, reads all columns in one pass.
 Code that names each column of a wide table would be too long for the JVM to compile.
+
+Beyond ``WIDE`` columns Spark no longer compiles the steps from the scan to the cells into one
+loop, and moving a cell costs more than typing it. There a row travels as one binary text with
+marked ends of cells, and tasks type the cells of many rows at once with NumPy. What is neither
+a plain number, a plain date or time nor certainly none of the types is left to the same SQL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +29,10 @@ from censusloom.errors import check
 LATTICE = ("boolean", "bigint", "double", "timestamp")
 _SEEN = 1 << len(LATTICE)
 _ALL = _SEEN - 1
+# The default of spark.sql.codegen.maxFields.
+WIDE = 100
+# Bytes that no UTF-8 text has: the end of a cell, and a cell that is NULL.
+_END, _NULL = 0xFF, 0xFE
 
 # Texts that are booleans.
 BOOLEAN_TEXTS = ("true", "false", "True", "False", "TRUE", "FALSE")
@@ -38,6 +47,10 @@ def _quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+def _bits(*fitting: str) -> int:
+    return _SEEN | _ALL & ~sum(1 << LATTICE.index(kind) for kind in fitting)
+
+
 def _misfits(column: str) -> str:
     """SQL for the bits of the types that a text does not fit; 0 for NULL.
 
@@ -47,11 +60,7 @@ def _misfits(column: str) -> str:
     texts of the right shape are cast, to find integers beyond 64 bits, numbers beyond a
     double (which have an exponent or hundreds of digits), and dates such as 30 February.
     """
-    name = _quoted(column)
-
-    def bits(*fitting: str) -> int:
-        return _SEEN | _ALL & ~sum(1 << LATTICE.index(kind) for kind in fitting)
-
+    name, bits = _quoted(column), _bits
     booleans = ", ".join(f"'{text}'" for text in BOOLEAN_TEXTS)
     short = f"length({name}) < 300 AND NOT contains({name}, 'e') AND NOT contains({name}, 'E')"
     finite = f"({short} OR abs(try_cast(trim({name}) AS double)) < double('Infinity'))"
@@ -77,12 +86,126 @@ def _narrowest(bits: int | None, all_null: str) -> str:
 def column_types(df: DataFrame, columns: Sequence[str] | None = None, all_null: str = "double") -> dict[str, str]:
     """The type of each text column by all rows of ``df``; columns of NULLs get ``all_null``."""
     columns = list(columns or df.columns)
-    bits = F.expr(f"bit_or({_misfits('text')})").alias("bits")
-    # One row per column.
-    found = {row["place"]: row["bits"] for row in _cells(df, columns).groupBy("place").agg(bits).collect()}
+    found = _wide_bits(df, columns) if len(columns) > WIDE else None
+    if found is None:
+        found = _column_bits(_cells(df, columns), _misfits("text"))
     return {c: _narrowest(found.get(i), all_null) for i, c in enumerate(columns)}
 
 
+def _column_bits(cells: DataFrame, bits: str) -> dict[int, int]:
+    # One row per column.
+    return {row["place"]: row["bits"] for row in cells.groupBy("place").agg(F.expr(f"bit_or({bits})").alias("bits")).collect()}
+
+
+def _wide_bits(df: DataFrame, columns: Sequence[str]) -> dict[int, int] | None:
+    """The bits of each column by its place; None if a text has a byte that marks the end of a cell."""
+    cells = ", ".join(f"coalesce(CAST({_quoted(c)} AS STRING), CAST(X'{_NULL:02X}' AS STRING))" for c in columns)
+    lines = df.selectExpr(f"CAST(concat_ws(CAST(X'{_END:02X}' AS STRING), {cells}, '') AS BINARY) AS line")
+    typed = lines.mapInArrow(_typing(len(columns)), "place int, bits int, text binary")
+    left = typed.selectExpr("place", "bits", "CAST(text AS STRING) AS text")
+    found = _column_bits(left, f"coalesce(bits, {_misfits('text')})")
+    return None if -1 in found else found
+
+
+def _typing(width: int) -> Callable:
+    """A function from batches of lines to (place, bits, text).
+
+    It gives one row per column with the bits of the cells that it typed, and each other text,
+    once per block of lines, without bits; place -1 tells that the ends of cells are not certain.
+    It is nested and holds plain values only, so that it travels to executors by value.
+    """
+    end, null, block, longest = _END, _NULL, 1 << 19, 1 << 20
+    nothing, boolean, whole, decimal, time = (
+        _bits(), _bits("boolean"), _bits("bigint", "double"), _bits("double"), _bits("timestamp")
+    )
+    words = [text.encode() for text in BOOLEAN_TEXTS]
+    # White space, signs and letters of numbers and times, and the bytes of what a pattern's end takes for a line's end.
+    possible = b"+-:eETZ \t\n\x0b\f\r\xc2\x85\xe2\x80\xa8\xa9"
+
+    def typed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        # Counts of points, of other bytes, and of bytes that no number or time has.
+        weights = np.full(256, 1 << 20 | 1 << 40, np.int64)
+        weights[list(possible)] = 1 << 20
+        weights[list(b"0123456789") + [end]] = 0
+        weights[ord(".")] = 1
+        days = np.array([0, 31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])
+
+        def rows(places, bits, texts):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(places, pa.int32()), pa.array(bits, pa.int32()), pa.array(texts, pa.binary())], ["place", "bits", "text"]
+            )
+
+        def plain_times(cells):
+            """Which rows of a matrix of bytes, with as many hyphens and colons as a time has, are a date or a time."""
+            number = lambda i: cells[:, i].astype(np.int16) * 10 + cells[:, i + 1] - 11 * 48
+            year, month, day = number(0) * 100 + number(2), number(5), number(8)
+            leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+            right = (cells[:, 4] == ord("-")) & (cells[:, 7] == ord("-")) & (year >= 1) & (month >= 1) & (month <= 12)
+            right &= (day >= 1) & (day <= days[np.where(right, month, 1)] + (leap & (month == 2)))
+            if cells.shape[1] > 10:
+                right &= ((cells[:, 10] == ord(" ")) | (cells[:, 10] == ord("T"))) & (cells[:, 13] == ord(":")) & (cells[:, 16] == ord(":"))
+                right &= (number(11) <= 23) & (number(14) <= 59) & (number(17) <= 59)
+            return right
+
+        known = np.zeros(width, np.int32)
+        for batch in batches:
+            lines = batch.column(0)
+            _, offsets, data = lines.buffers()
+            kind = np.int64 if pa.types.is_large_binary(lines.type) else np.int32
+            bounds = np.frombuffer(offsets, kind, len(lines) + 1, lines.offset * np.dtype(kind).itemsize)
+            data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+            at = 0
+            while at < len(lines):
+                to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + block, "right")) - 1)
+                chunk = data[bounds[at] : bounds[to]]
+                ends = np.flatnonzero(chunk == end)
+                if len(ends) != (to - at) * width or (ends[width - 1 :: width] + 1 != bounds[at + 1 : to + 1] - bounds[at]).any():
+                    yield rows([-1], [0], [None])
+                    return
+                at = to
+                starts = np.empty_like(ends)
+                starts[0], starts[1:] = 0, ends[:-1] + 1
+                length, first = ends - starts, chunk[starts]
+                counts = np.diff(np.cumsum(weights[chunk])[ends], prepend=0)
+                points, others = counts & (1 << 20) - 1, counts >> 20 & (1 << 20) - 1
+                signed = (first == ord("+")) | (first == ord("-"))
+                digits = length - points - signed
+                number = (others == signed) & (digits >= 1) & (length < 300)
+                bits = np.zeros(len(ends), np.int32)
+                # The empty text, what sorts from ":" on (booleans come below), and what has a byte that does not fit.
+                bits[(length == 0) | (first >= ord(":")) | (counts >> 40 > 0)] = nothing
+                bits[number & (points == 0) & (digits <= 18)] = whole
+                bits[number & (points == 1)] = decimal
+                for size, marks in ((10, 2), (19, 5)):
+                    places = np.flatnonzero((bits == 0) & (length == size) & (others == marks) & (points == 0))
+                    if len(places):
+                        right = plain_times(chunk[starts[places][:, None] + np.arange(size)])
+                        bits[places[right]] = time
+                for size in {len(word) for word in words}:
+                    places = np.flatnonzero((length == size) & (first > ord(":")) & (first < end))
+                    if len(places):
+                        cells = chunk[starts[places][:, None] + np.arange(size)]
+                        for word in words:
+                            if len(word) == size:
+                                bits[places[(cells == np.frombuffer(word, np.uint8)).all(axis=1)]] = boolean
+                bits[length >= longest] = 0
+                bits[(length == 1) & (first == null)] = -1
+                left = np.flatnonzero(bits == 0)
+                bits[bits == -1] = 0
+                known |= np.bitwise_or.reduce(bits.reshape(-1, width), axis=0)
+                # A column that has no type left needs no further look.
+                left = left[known[left % width] != nothing]
+                if len(left):
+                    texts = {(int(i) % width, chunk[starts[i] : ends[i]].tobytes()) for i in left}
+                    yield rows([place for place, _ in texts], [None] * len(texts), [text for _, text in texts])
+        yield rows(np.arange(width), known, [None] * width)
+
+    return typed
+
+
 def _cells(df: DataFrame, columns: Sequence[str], *kept: str) -> DataFrame:
     """(the ``kept`` columns, place, text) of each cell of some text columns."""
     texts = ", ".join(f"CAST({_quoted(c)} AS STRING)" for c in columns)

@@ -175,3 +175,31 @@ def test_compressed_files_hold_a_bounded_number_of_rows(spark, tmp_path):
     read = scan_csv(spark, folder, multi_line=False)
     assert len(read.inputFiles()) == 4 and read.count() == 1000
     assert read.where("text = 'a,\"b'").count() == 334 and read.where("text IS NULL").count() == 666
+
+
+ODD_TEXTS = [
+    "", " ", "1", " 12 ", "+5", "-7", "+", ".", "1.", ".5", "1..2", "1e5", "1e400", "1e", "9" * 18, "9" * 19, "-" + "9" * 19,
+    "0" * 25, "1" * 310, "." + "1" * 299, "true", "tRue", "FALSE", "2024-02-29", "2023-02-29", "1900-02-29", "0000-01-01",
+    "2024-01-00", "2024-01-31 23:59:59", "2024-01-31T24:00:00", "2024-01-31 23:59:59.123", "2024-01-31T23:59:59+01:00",
+    "2024-01-31 00-00-00", "12\n", "12\u0085", "12 Main", "é", "5€", "NaN", "1d", "0x10", ":", "3-4", "5\x00", None,
+]
+
+
+def test_wide_tables_are_typed_without_a_row_per_cell(spark, monkeypatch):
+    """Each odd text alone in a column, and next to others; the same types as cell by cell."""
+    texts = ODD_TEXTS * 3
+    rows = [texts, [*texts[5:], *texts[:5]], [None] * len(texts)]
+    names = [f"c{i}" for i in range(len(texts))]
+    for some in (rows[:1], rows, []):
+        table = spark.createDataFrame(some, ", ".join(f"{n} string" for n in names)).repartition(2)
+        cells = inference._column_bits(inference._cells(table, names), inference._misfits("text"))
+        expected = {n: inference._narrowest(cells.get(i), "double") for i, n in enumerate(names)}
+        with monkeypatch.context() as patch:
+            patch.setattr(inference, "_cells", None)
+            assert column_types(table) == expected
+
+
+def test_bytes_outside_utf8_are_typed_cell_by_cell(spark):
+    table = spark.range(5).selectExpr(*[f"CAST(id + {i} AS STRING) AS c{i}" for i in range(110)], "CAST(X'31FF32' AS STRING) AS odd")
+    assert inference._wide_bits(table, table.columns) is None
+    assert column_types(table) == {f"c{i}": "bigint" for i in range(110)} | {"odd": "string"}
